@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from arealis.llm import exact_dedup, line_dedup, packing, token_files
+from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, packing, quality, token_files, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op4_toxicity": toxicity.op4,
+    "op6_license_scan": license_scan.op6,
+    "op7_decontamination": decontamination.op7,
     "op8_best_fit_packing": packing.op8,
     "op10_token_files": token_files.op10,
 }
 
+#: Scores, searches with labels of their own, token ids and packings have no SQL twin;
+#: their tests compare them with brute force, held-out labels or a round trip.
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
 }
