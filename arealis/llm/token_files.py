@@ -105,17 +105,25 @@ _IDS = "shard int, ord long, doc_id long, n_tokens long, ids binary"
 _BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens array<long>, checkpoints binary, stream binary"
 
 
+def _ids(parts: list[bytes], tokens: int) -> np.ndarray:
+    """Ids kept in two bytes each, or in four where the vocabulary needs them."""
+    joined = b"".join(parts)
+    return np.frombuffer(joined, dtype="<u4" if len(joined) == 4 * tokens else "<u2")
+
+
 def _id_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of each document with the end id, in the order of the partition."""
         shard, ord_, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end, narrow = np.array([end_id], dtype="<u4").tobytes(), encoder(path).whole.get_vocab_size() <= 1 << 16
         for b in batches:
             docs, texts = b.column("doc_id"), [x or "" for x in b.column("text").to_pylist()]
             for lo in range(0, len(texts), 500):
                 ids = [x + end for x in encode(texts[lo : lo + 500])]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(ord_, ord_ + n), pa.int64()), docs.slice(lo, n), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["shard", "ord", "doc_id", "n_tokens", "ids"])
+                n, counts = len(ids), [len(x) // 4 for x in ids]
+                if narrow:
+                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(ord_, ord_ + n), pa.int64()), docs.slice(lo, n), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "ord", "doc_id", "n_tokens", "ids"])
                 ord_ += n
 
     return run
@@ -124,7 +132,7 @@ def _id_rows(path: str, end_id: int):
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for b in batches:
-        ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype="<u4")
+        ids = _ids(b.column("ids").to_pylist(), sum(b.column("n_tokens").to_pylist()))
         if len(ids):
             n = np.bincount(ids, minlength=len(total))
             n[: len(total)] += total
@@ -140,7 +148,7 @@ def _block_rows(lengths: np.ndarray):
         docs: list[tuple[int | None, int, bytes]] = []
 
         def flush() -> pa.RecordBatch:
-            stream, marks = pack_bits(np.frombuffer(b"".join(d[2] for d in docs), dtype="<u4"), codes, lengths)
+            stream, marks = pack_bits(_ids([d[2] for d in docs], sum(d[1] for d in docs)), codes, lengths)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([[d[0] for d in docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in docs]], pa.list_(pa.int64())), pa.array([marks.astype("<i8").tobytes()]), pa.array([stream])], names=["shard", "block", "doc_ids", "n_tokens", "checkpoints", "stream"])
 
         held = 0
@@ -175,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
     ids = written(rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(*order).mapInArrow(_id_rows(vocabulary, end_id), _IDS), "token-ids")
-    found = ids.select("ids").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = ids.select("n_tokens", "ids").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found.id.max()) + 1 if len(found) else 1, dtype=np.int64)
     counts[found.id] = found.n
     lengths = code_lengths(counts)
