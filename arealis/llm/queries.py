@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, packing, quality, token_files, toxicity
+from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_license_scan": license_scan.op6,
     "op7_decontamination": decontamination.op7,
     "op8_best_fit_packing": packing.op8,
+    "op9_ngram_jaccard": ngram_join.op9,
     "op10_token_files": token_files.op10,
 }
 
@@ -21,4 +22,5 @@ SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
+    "op9_ngram_jaccard": ngram_join.OP9_SQL,
 }
