@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, token_files, toxicity
+from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_line_dedup": line_dedup.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_suffix_array_dedup": suffix_dedup.op5,
     "op6_license_scan": license_scan.op6,
     "op7_decontamination": decontamination.op7,
     "op8_best_fit_packing": packing.op8,
