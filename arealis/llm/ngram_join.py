@@ -198,23 +198,20 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     key, names, sets, salts = None, [], [], []
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "salt", "tokens"))):
+        for row in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "salt", "text"))):
             if row[:4] != key:
                 if (found := flush() if key else None) is not None:
                     yield found
                 key, names, sets, salts = row[:4], [], [], []
-            names.append(row[4])
-            salts.append(row[5])
-            sets.append(np.frombuffer(row[6], dtype="<u8"))
+            found = shingle_set((row[6] or "").encode())
+            if len(found):
+                names.append(row[4])
+                salts.append(row[5])
+                sets.append(found)
     if key and (found := flush()) is not None:
         yield found
 
 
-def _token_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    tokens = [shingle_set(t).tobytes() for t in texts_as_bytes(b.column("text"))]
-    return pa.RecordBatch.from_arrays([b.column("component"), b.column("node"), pa.array([len(t) // 8 for t in tokens], pa.int64()), pa.array(tokens, pa.binary())], names=["component", "node", "n", "tokens"])
-
-
 def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(u, v)``: links between class representatives that span their components."""
     held = classes.where("node is not null").select("node", F.explode("signature").alias("t"))
@@ -222,20 +219,22 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     one = written(tokens.groupBy("c", "x1", "x2").agg(F.min("t").alias("t"), F.min("first").alias("first")), "shared-shingles")  # one of the shingles that the same sets hold
     edges = held.join(one.select("t", "first"), "t").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     near = written(connected_components(edges, "near"), "near-components")
-    sets = docs.join(near, F.col("doc_id") == F.col("node")).select("component", "node", "text")
-    sets = written(map_batches(sets, _token_rows, "component long, node long, n long, tokens binary"), "near-sets", "none")
     # a component too large for one tree is split by size, and sizes by salt into pairs of blocks
-    weight = sets.groupBy("component").agg(F.sum("n").alias("all"))
+    zero = F.lit(0).cast("long")
+    near = near.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
+    weight = near.groupBy("component").agg(F.sum("n").alias("all"))
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM))).cast("long")
-    sets = sets.join(weight, "component").withColumn("level", F.when(F.col("all") > TREE_SHINGLES, level))
-    small = sets.where("level is null").select("component", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node", F.lit(0).cast("long").alias("salt"), "tokens")
-    large = sets.where("level is not null").withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1)))
+    near = written(near.join(weight, "component").withColumn("level", F.when(F.col("all") > TREE_SHINGLES, level)), "near-sizes")
+    small = near.where("level is null").select("component", zero.alias("size"), zero.alias("i"), zero.alias("j"), "node", zero.alias("salt"))
+    large = near.where("level is not null").withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1)))
     blocks = large.groupBy("component", "size").agg(F.ceil(2 * F.sum("n") / TREE_SHINGLES).alias("blocks"))
     large = large.join(blocks, ["component", "size"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.select("component", "size", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt", "tokens")
-    groups = small.unionByName(large).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-    return groups.mapInArrow(_shard_links, "u long, v long")
+    large = large.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    large = large.select("component", "size", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt")
+    places = small.unionByName(large).groupBy("node").agg(F.collect_list(F.struct(*_GROUP, "salt")).alias("places"))
+    # texts travel, not their shingles: these are many times as large
+    texts = docs.join(places, F.col("doc_id") == F.col("node")).select("node", "text", F.explode("places").alias("p")).select("p.*", "node", "text")
+    return texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_shard_links, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -254,7 +253,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     rows = written(map_batches(docs, _set_rows(hot), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>"), "sets")
-    classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
     found = written(connected_components(_links(docs, classes), "links"), "components")
     named = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
