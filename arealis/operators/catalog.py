@@ -20,7 +20,7 @@ def freshness(sources: DataFrame, as_of: str) -> DataFrame:
 
 def detect_sources(logs: DataFrame, keywords: DataFrame, key: str, text: str) -> DataFrame:
     """``keywords(source, keyword)``, a list written by hand: which sources each text mentions."""
-    return logs.join(F.broadcast(keywords), F.lower(text).contains(F.lower("keyword"))).select(key, "source").distinct()
+    return logs.select(key, F.col(text).alias("_text")).join(F.broadcast(keywords), F.lower("_text").contains(F.lower("keyword"))).select(key, "source").distinct()
 
 
 def staleness(used: DataFrame, sources: DataFrame) -> DataFrame:

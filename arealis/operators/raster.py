@@ -133,7 +133,7 @@ def contours(dem: DataFrame, interval: float) -> DataFrame:
     z = [F.col(str(k)) for k in range(4)]
     lo, hi = F.least(*z), F.greatest(*z)
     levels = F.sequence(F.ceil(lo / interval).cast("long"), F.floor(hi / interval).cast("long"))
-    w = w.where(F.ceil(lo / interval) <= F.floor(hi / interval)).withColumn("level", F.explode(levels) * interval)
+    w = w.where(F.ceil(lo / interval) <= F.floor(hi / interval)).withColumn("level", F.explode(levels)).withColumn("level", F.col("level") * F.lit(float(interval)))
     t = lambda a, b: (F.col("level") - a) / (b - a)
     side = lambda a, b, x, y: F.when((a > F.col("level")) != (b > F.col("level")), F.struct(x.alias("x"), y.alias("y")))
     c, r = F.col("col").cast("double"), F.col("row").cast("double")

@@ -105,7 +105,7 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, st
         e = left.select("x", "y").unionByName(right.select("x", "y")).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("e")).first().e
         max_distance = max(e or 0.0, start)
     todo, out, distance = left.select(key, "x", "y"), None, min(start, max_distance)
-    w = Window.partitionBy(key).orderBy("d")
+    w = Window.partitionBy(key).orderBy(F.round("d", 9))  # equal distances may differ in their last bits
     while True:
         pairs = near_pairs(todo, r, distance).withColumns({"_n": F.rank().over(w), "_all": F.count("*").over(Window.partitionBy(key))})
         last = distance >= max_distance

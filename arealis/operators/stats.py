@@ -25,7 +25,7 @@ def weights(df: DataFrame, kind: str, key: str = "id", k: int = 8, distance: flo
         parts = df.select(key, F.explode(e).alias("part")).distinct()
     elif kind == "knn":
         n = nearest_join(df, df.withColumnRenamed(key, "j"), key, "j", distance or 1.0, k=k + 1)
-        w = Window.partitionBy(key).orderBy("d", "j")
+        w = Window.partitionBy(key).orderBy(F.round("d", 9), "j")
         return n.where(F.col(key) != F.col("j")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(F.col(key).alias("i"), "j", F.lit(1.0).alias("w"))
     else:
         other = df.select(F.col(key).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
@@ -53,7 +53,7 @@ def _moments(df: DataFrame, y: str) -> DataFrame:
 
 def morans_i(df: DataFrame, W: DataFrame, y: str, key: str = "id") -> DataFrame:
     """Global Moran's I with expectation, z and p under normality, and a verdict; null under 10 rows."""
-    z = df.join(_moments(df, y)).select(key, (F.col(y) - F.col("mean")).alias("z"), "n", "var")
+    z = df.select(key, y).join(_moments(df, y)).select(key, (F.col(y) - F.col("mean")).alias("z"), "n", "var")
     pairs = W.join(z.select(F.col(key).alias("i"), F.col("z").alias("zi"), "n", "var"), "i").join(z.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j")
     s = pairs.agg(F.first("n").alias("n"), F.first("var").alias("var"), F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("cross"), F.sum("w").alias("s0"))
     back = W.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("v"))
@@ -107,7 +107,7 @@ def fdr_threshold(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 
 def lisa(df: DataFrame, W: DataFrame, y: str, key: str = "id") -> DataFrame:
     """Local Moran's I and its quadrant: 1 high-high, 2 low-high, 3 low-low, 4 high-low."""
-    z = df.join(_moments(df, y)).select(key, (F.col(y) - F.col("mean")).alias("z"), "n", "var")
+    z = df.select(key, y).join(_moments(df, y)).select(key, (F.col(y) - F.col("mean")).alias("z"), "n", "var")
     l = lag(W, z, "z", key)
     out = z.join(l, key).withColumn("local_i", (F.col("n") - 1) * F.col("z") * F.col("lag") / (F.col("n") * F.col("var")))
     q = F.when((F.col("z") > 0) & (F.col("lag") > 0), 1).when((F.col("z") <= 0) & (F.col("lag") > 0), 2).when((F.col("z") <= 0) & (F.col("lag") <= 0), 3).otherwise(4)
