@@ -11,8 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arealis.llm.common import documents, shared_dir, written
+from arealis.llm.common import documents, written
 from arealis.llm.tokens import default_vocabulary, encoder
+from arealis.sources.shared import shared_dir
 
 #: Bits of the longest code, and tokens between two bit-offset checkpoints.
 LIMIT, STRIDE = 20, 512
