@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -67,18 +67,25 @@ def join_coverage(df: DataFrame, key: str, fields: Sequence[str], expected: int
     )
 
 
-def brand_match(df: DataFrame, brands: DataFrame, name: str) -> DataFrame:
+def brand_match(df: DataFrame, brands: DataFrame, name: str, most: int = 5000) -> DataFrame:
     """The brand of each name: equal, equal without case, one inside the other, equal without punctuation.
 
-    ``brands`` is a list to choose from (``ordinal``, ``brand``), small by its nature; the
-    first of the best tier wins.
+    ``brands`` (``ordinal``, ``brand``) is a list to choose from, of at most ``most`` rows:
+    it goes into the plan as values, so each distinct name is matched in one pass without
+    a join. The first of the best tier wins.
     """
+    listed = brands.orderBy("ordinal").limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} brands")
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    n, b = F.col(name), F.col("brand")
-    tier = F.when(n == b, 1).when(F.lower(n) == F.lower(b), 2).when(F.lower(n).contains(F.lower(b)) | F.lower(b).contains(F.lower(n)), 3).when(plain(n) == plain(b), 4)
-    names = df.select(name).distinct()
-    best = names.join(brands, tier.isNotNull()).groupBy(name).agg(F.min(F.struct(tier.alias("tier"), "ordinal", "brand")).alias("m"))
-    return df.join(best.select(name, "m.brand", "m.tier"), name, "left")
+    def tier(n: Column, b: Column) -> Column:
+        return F.when(n == b, 1).when(F.lower(n) == F.lower(b), 2).when(F.lower(n).contains(F.lower(b)) | F.lower(b).contains(F.lower(n)), 3).when(plain(n) == plain(b), 4)
+
+    values = F.array(*(F.struct(F.lit(r.ordinal).alias("ordinal"), F.lit(r.brand).alias("brand")) for r in listed))
+    tried = F.transform(values, lambda v: F.struct(tier(F.col(name), v.brand).alias("tier"), v.ordinal.alias("ordinal"), v.brand.alias("brand")))
+    best = F.array_min(F.filter(tried, lambda v: v.tier.isNotNull()))
+    names = df.select(name).distinct().select(name, best.alias("m")).select(name, "m.brand", "m.tier")
+    return df.join(names, name, "left")
 
 
 def coalesce_match(df: DataFrame, primary: DataFrame, fallback: DataFrame, key: str, value: str) -> DataFrame:

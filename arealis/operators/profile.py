@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions.columns import smart_round
+from arealis.operators.rank import row_rank
 
 
 def unpivot(df: DataFrame, fields: Sequence[str], kind: str = "double", keep: Sequence[str] = ()) -> DataFrame:
@@ -150,10 +151,20 @@ def rollup(df: DataFrame, crosswalk: DataFrame, key: str, to: str, counts: Seque
     return j.groupBy(to).agg(*(s(c).alias(c) for c in counts), *((100 * s(a) / F.nullif(s(b), F.lit(0.0))).alias(r) for r, (a, b) in rates.items()))
 
 
-def crosstab(df: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
-    """Rows by quantile class of two measures."""
-    wide = df.withColumns({"_a": F.ntile(k).over(Window.orderBy(a)), "_b": F.ntile(k).over(Window.orderBy(b))})
-    return wide.groupBy(F.col("_a").alias("a_class"), F.col("_b").alias("b_class")).agg(F.count("*").alias("n"))
+def _tile(df: DataFrame, col: str, tie: str, k: int, name: str) -> DataFrame:
+    """1..k of equal size by rank; the first ones take what is left over."""
+    rows = row_rank(df, col, [tie], name="_r")
+    n = F.broadcast(rows.agg(F.count("_r").alias("_n")))
+    size, more = F.floor(F.col("_n") / k), F.col("_n") % k
+    i, cut = F.col("_r") - 1, more * (size + 1)
+    tile = F.when(i < cut, F.floor(i / (size + 1))).otherwise(more + F.floor((i - cut) / F.greatest(size, F.lit(1)))) + 1
+    return rows.join(n).withColumn(name, tile.cast("int")).drop("_r", "_n")
+
+
+def crosstab(df: DataFrame, a: str, b: str, tie: str, k: int = 5) -> DataFrame:
+    """Rows by quantile class of two measures; ``tie`` orders equal values."""
+    wide = _tile(_tile(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, tie, k, "a_class"), b, tie, k, "b_class")
+    return wide.groupBy("a_class", "b_class").agg(F.count("*").alias("n"))
 
 
 def facet_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -447,5 +447,4 @@ def match_stats(t: Tables) -> DataFrame:
 
 @query(f"SELECT a_class, b_class, count(*) n FROM (SELECT CAST(ntile(5) OVER (ORDER BY y, id) AS INTEGER) a_class, CAST(ntile(5) OVER (ORDER BY n, id) AS INTEGER) b_class FROM {_Y}) GROUP BY 1, 2")
 def quintile_crosstab(t: Tables) -> DataFrame:
-    y = _y(t).select("id", F.struct("y", "id").alias("a"), F.struct("n", "id").alias("b"))
-    return profile.crosstab(y, "a", "b", 5)
+    return profile.crosstab(_y(t), "y", "n", "id", 5)
