@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from arealis.plans import more, places, tables  # noqa: F401  they register
+from arealis.plans import more, places, streams, tables  # noqa: F401  they register
 from arealis.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -20,4 +20,5 @@ def stream_stage_status(spark: SparkSession, path: str, schema: str = LOG) -> Da
 def stream_counts(spark: SparkSession, path: str, schema: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Events of each hour; an hour closes once the log is ``late`` past it."""
     log = spark.readStream.schema(schema).parquet(path)
+    log = log.withColumn(ts, F.col(ts).cast("timestamp"))  # event time needs a time zone
     return log.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w")).agg(F.count("*").alias("events")).select(F.col("w.start").alias("hour"), "events")
