@@ -102,7 +102,7 @@ def unpack_bits(stream: bytes, checkpoints: np.ndarray, n: int, table: np.ndarra
     return out.ravel()[:n]
 
 
-_IDS = "shard int, ord long, doc_id long, n_tokens long, ids binary"
+_IDS = "shard int, block int, ord long, doc_id long, n_tokens long, ids binary"
 _BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens array<long>, checkpoints binary, stream binary"
 
 
@@ -114,17 +114,19 @@ def _ids(parts: list[bytes], tokens: int) -> np.ndarray:
 
 def _id_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids of each document with the end id, in the order of the partition."""
-        shard, ord_, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
+        """Ids of each document with the end id, in the order of the partition, and their block."""
+        shard, ord_, before, encode = TaskContext.get().partitionId(), 0, 0, encoder(path).encode
         end, narrow = np.array([end_id], dtype="<u4").tobytes(), encoder(path).whole.get_vocab_size() <= 1 << 16
         for b in batches:
             docs, texts = b.column("doc_id"), [x or "" for x in b.column("text").to_pylist()]
             for lo in range(0, len(texts), 500):
                 ids = [x + end for x in encode(texts[lo : lo + 500])]
                 n, counts = len(ids), [len(x) // 4 for x in ids]
+                blocks = ((before + np.cumsum([0, *counts[:-1]])) // BLOCK).astype(np.int32)
+                before += sum(counts)
                 if narrow:
                     ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(ord_, ord_ + n), pa.int64()), docs.slice(lo, n), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "ord", "doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(blocks), pa.array(range(ord_, ord_ + n), pa.int64()), docs.slice(lo, n), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "block", "ord", "doc_id", "n_tokens", "ids"])
                 ord_ += n
 
     return run
@@ -144,26 +146,21 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block_rows(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole documents of a shard, in order, in blocks of about ``BLOCK`` tokens."""
-        codes, shard, block = canonical_codes(lengths), None, 0
+        """Whole documents in order, a block of about ``BLOCK`` tokens at a time."""
+        codes, key = canonical_codes(lengths), None
         docs: list[tuple[int | None, int, bytes]] = []
 
         def flush() -> pa.RecordBatch:
             stream, marks = pack_bits(_ids([d[2] for d in docs], sum(d[1] for d in docs)), codes, lengths)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([[d[0] for d in docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in docs]], pa.list_(pa.int64())), pa.array([marks.astype("<i8").tobytes()]), pa.array([stream])], names=["shard", "block", "doc_ids", "n_tokens", "checkpoints", "stream"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([[d[0] for d in docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in docs]], pa.list_(pa.int64())), pa.array([marks.astype("<i8").tobytes()]), pa.array([stream])], names=["shard", "block", "doc_ids", "n_tokens", "checkpoints", "stream"])
 
-        held = 0
         for b in batches:
-            for sh, doc, n, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "ids"))):
-                if docs and (sh != shard or held >= BLOCK):
+            for *this, doc, n, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "doc_id", "n_tokens", "ids"))):
+                if docs and this != key:
                     yield flush()
-                    block = block + 1 if sh == shard else 0
-                    docs, held = [], 0
-                elif sh != shard:
-                    block = 0
-                shard = sh
+                    docs = []
+                key = this
                 docs.append((doc, n, ids))
-                held += n
         if docs:
             yield flush()
 
@@ -189,7 +186,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     counts[found.id] = found.n
     lengths = code_lengths(counts)
     spark.createDataFrame([(lengths.tobytes(), LIMIT, STRIDE)], "lengths binary, bits int, stride int").coalesce(1).write.parquet(f"{path}/codebook")
-    blocks = ids.repartition("shard").sortWithinPartitions("shard", "ord").mapInArrow(_block_rows(lengths), _BLOCKS)
+    blocks = ids.repartition("shard", "block").sortWithinPartitions("shard", "block", "ord").mapInArrow(_block_rows(lengths), _BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
