@@ -97,33 +97,39 @@ def _frequent(docs: DataFrame, rate: int = 16, least: int = 5, most: int = 100_0
 
 
 class SignatureTree:
-    """Sets in order of size; each node has the OR and AND of their token bitmaps and their sizes."""
+    """Sets with like signatures side by side; each node has the OR of their signature
+    shingles, the OR and AND of bitmaps of all shingles, and the range of their sizes."""
 
     LEAF = 8
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets, self.order = sets, sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        self.maps = {}
-        for i in self.order:
-            flags = np.zeros(bits, dtype=bool)
-            flags[(sets[i] & np.uint64(bits - 1)).astype(np.int64)] = True
-            self.maps[i] = int.from_bytes(np.packbits(flags).tobytes(), "big")
+    def __init__(self, sets: list[np.ndarray], signatures: list[np.ndarray], bits: int):
+        self.sets = sets
+        seen, n = np.unique(np.concatenate(signatures), return_counts=True)
+        shared = seen[n > 1]  # others have no part in any link
+        places = [np.searchsorted(shared, np.intersect1d(s, shared)) for s in signatures]
+        self.order = sorted(range(len(sets)), key=lambda i: (places[i].tolist()[:4], len(sets[i])))
+        self.marks = [_bits(p, len(shared)) for p in places]
+        self.maps = [_bits(np.unique(s & np.uint64(bits - 1)).astype(np.int64), bits) for s in sets]
         self.root = self._node(0, len(sets))
 
-    def _node(self, lo: int, hi: int) -> tuple:
-        """``(lo, hi, OR, AND, least size, largest size, children)``."""
+    def _node(self, lo: int, hi: int) -> list:
+        """``[lo, hi, marks, OR, AND, least size, largest size, children, a set if all are known to be connected]``."""
         if hi - lo <= self.LEAF:
-            maps = [self.maps[i] for i in self.order[lo:hi]]
-            either, every = maps[0], maps[0]
-            for m in maps[1:]:
-                either |= m
-                every &= m
-            children = ()
-        else:
-            mid = (lo + hi) // 2
-            children = (self._node(lo, mid), self._node(mid, hi))
-            either, every = children[0][2] | children[1][2], children[0][3] & children[1][3]
-        return lo, hi, either, every, len(self.sets[self.order[lo]]), len(self.sets[self.order[hi - 1]]), children
+            own = self.order[lo:hi]
+            marks, either, every = 0, 0, -1
+            for i in own:
+                marks, either, every = marks | self.marks[i], either | self.maps[i], every & self.maps[i]
+            sizes = [len(self.sets[i]) for i in own]
+            return [lo, hi, marks, either, every, min(sizes), max(sizes), (), None]
+        mid = (lo + hi) // 2
+        a, b = self._node(lo, mid), self._node(mid, hi)
+        return [lo, hi, a[2] | b[2], a[3] | b[3], a[4] & b[4], min(a[5], b[5]), max(a[6], b[6]), (a, b), None]
+
+
+def _bits(places: np.ndarray, n: int) -> int:
+    flags = np.zeros(n, dtype=bool)
+    flags[places] = True
+    return int.from_bytes(np.packbits(flags).tobytes(), "big")
 
 
 def _possible(either_a: int, every_a: int, low_a: int, high_a: int, either_b: int, every_b: int, low_b: int, high_b: int) -> bool:
@@ -135,17 +141,18 @@ def _possible(either_a: int, every_a: int, low_a: int, high_a: int, either_b: in
     return most * (NUM + DEN) >= NUM * (low_a + low_b)
 
 
-def tree_links(names: list[int], sets: list[np.ndarray], salts: list[int] | None = None) -> list[tuple[int, int]]:
+def tree_links(names: list[int], sets: list[np.ndarray], signatures: list[np.ndarray], salts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly the names which links connect.
 
-    Dual traversal of one tree; pairs that earlier links already connect are skipped, so
-    a group of near copies gives about as many links as it has members. With two
-    different ``salts``, only pairs across them are looked at.
+    Dual traversal of one tree. Node pairs go if they share no signature shingle, if no
+    pair of theirs can overlap enough, or if earlier links connect all they hold; so a
+    group of near copies gives about as many links as it has members. With two different
+    ``salts``, only pairs across them are looked at.
     """
     if len(names) < 2:
         return []
     largest = max(map(len, sets))
-    tree = SignatureTree(sets, min(1 << 16, 1 << max(6, (2 * largest).bit_length())))
+    tree = SignatureTree(sets, signatures, min(1 << 16, 1 << max(6, (2 * largest).bit_length())))
     parent = {x: x for x in names}
     across = salts is not None and len(set(salts)) > 1
     out = []
@@ -156,25 +163,37 @@ def tree_links(names: list[int], sets: list[np.ndarray], salts: list[int] | None
             x = parent[x]
         return x
 
+    def one_root(node: list) -> int | None:
+        """The root of all that a node holds, if it is one; once it is, it stays so."""
+        if node[8] is None:
+            roots = {one_root(c) for c in node[7]} if node[7] else {find(names[tree.order[k]]) for k in range(node[0], node[1])}
+            if len(roots) > 1 or None in roots:
+                return None
+            node[8] = roots.pop()
+        return find(node[8])
+
     todo = [(tree.root, tree.root)]
     while todo:
         p, q = todo.pop()
-        if not _possible(p[2], p[3], p[4], p[5], q[2], q[3], q[4], q[5]):
+        if not p[2] & q[2] or not _possible(*p[3:7], *q[3:7]):
             continue
-        if p[6] or q[6]:
+        root = one_root(p)
+        if root is not None and (p is q or root == one_root(q)):
+            continue
+        if p[7] or q[7]:
             if p is q:
-                a, b = p[6]
+                a, b = p[7]
                 todo += [(a, b), (b, b), (a, a)]
-            elif p[6] and (not q[6] or p[1] - p[0] >= q[1] - q[0]):
-                todo += [(x, q) for x in p[6]]
+            elif p[7] and (not q[7] or p[1] - p[0] >= q[1] - q[0]):
+                todo += [(x, q) for x in p[7]]
             else:
-                todo += [(p, x) for x in q[6]]
+                todo += [(p, x) for x in q[7]]
             continue
         for k in range(p[0], p[1]):
             i = tree.order[k]
             for m in range(k + 1 if p is q else q[0], q[1]):
                 j = tree.order[m]
-                if across and salts[i] == salts[j] or find(names[i]) == find(names[j]):
+                if not tree.marks[i] & tree.marks[j] or across and salts[i] == salts[j] or find(names[i]) == find(names[j]):
                     continue
                 a, b, x, y = len(sets[i]), len(sets[j]), tree.maps[i], tree.maps[j]
                 if not _possible(x, x, a, a, y, y, b, b):
@@ -189,30 +208,33 @@ def tree_links(names: list[int], sets: list[np.ndarray], salts: list[int] | None
 _GROUP = ["component", "size", "i", "j"]
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group of a partition sorted by group; one group is held at a time."""
+def _shard_links(hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each group of a partition sorted by group; one group is held at a time."""
+
+        def flush() -> pa.RecordBatch | None:
+            links = tree_links(names, sets, [signature(s, hot.value) for s in sets], salts)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"]) if links else None
 
-    def flush() -> pa.RecordBatch | None:
-        links = tree_links(names, sets, salts)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"]) if links else None
+        key, names, sets, salts = None, [], [], []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "salt", "text"))):
+                if row[:4] != key:
+                    if (found := flush() if key else None) is not None:
+                        yield found
+                    key, names, sets, salts = row[:4], [], [], []
+                tokens = shingle_set((row[6] or "").encode())
+                if len(tokens):
+                    names.append(row[4])
+                    salts.append(row[5])
+                    sets.append(tokens)
+        if key and (found := flush()) is not None:
+            yield found
 
-    key, names, sets, salts = None, [], [], []
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "salt", "text"))):
-            if row[:4] != key:
-                if (found := flush() if key else None) is not None:
-                    yield found
-                key, names, sets, salts = row[:4], [], [], []
-            found = shingle_set((row[6] or "").encode())
-            if len(found):
-                names.append(row[4])
-                salts.append(row[5])
-                sets.append(found)
-    if key and (found := flush()) is not None:
-        yield found
+    return run
 
 
-def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, hot) -> DataFrame:
     """``(u, v)``: links between class representatives that span their components."""
     held = classes.where("node is not null").select("node", F.explode("signature").alias("t"))
     tokens = held.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("c > 1")
@@ -234,7 +256,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     places = small.unionByName(large).groupBy("node").agg(F.collect_list(F.struct(*_GROUP, "salt")).alias("places"))
     # texts travel, not their shingles: these are many times as large
     texts = docs.join(places, F.col("doc_id") == F.col("node")).select("node", "text", F.explode("places").alias("p")).select("p.*", "node", "text")
-    return texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_shard_links, "u long, v long")
+    return texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_shard_links(hot), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -255,7 +277,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = written(map_batches(docs, _set_rows(hot), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>"), "sets")
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    found = written(connected_components(_links(docs, classes), "links"), "components")
+    found = written(connected_components(_links(docs, classes, hot), "links"), "components")
     named = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(written(named, "class-components"), ["d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -153,12 +153,13 @@ def test_tree_links_connect_what_all_pairs_connect():
         return {frozenset(i for i in range(len(sets)) if find(i) == r) for r in {find(i) for i in range(len(sets))}}
 
     every = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
-    assert groups(ngram_join.tree_links(list(range(len(sets))), sets)) == groups(every)
+    marks = [ngram_join.signature(s, np.zeros(0, dtype=np.uint64)) for s in sets]
+    assert groups(ngram_join.tree_links(list(range(len(sets))), sets, marks)) == groups(every)
     # two shards of blocks see the same links together
     salts = [k % 2 for k in range(len(sets))]
     halves = [[i for i in range(len(sets)) if salts[i] == h] for h in (0, 1)]
-    found = [x for h in halves for x in ngram_join.tree_links(h, [sets[i] for i in h])]
-    assert groups(found + ngram_join.tree_links(list(range(len(sets))), sets, salts)) == groups(every)
+    found = [x for h in halves for x in ngram_join.tree_links(h, [sets[i] for i in h], [marks[i] for i in h])]
+    assert groups(found + ngram_join.tree_links(list(range(len(sets))), sets, marks, salts)) == groups(every)
 
 
 def test_large_shards_are_split(spark, corpus, monkeypatch):
