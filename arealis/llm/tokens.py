@@ -43,8 +43,8 @@ class WordEncoder:
 
     The word vocabulary lower-cases, drops white space and never merges across it, so a
     text's ids are those of its chunks in turn. Texts with a special token's string or
-    with characters outside Latin script go through the library whole. ``room`` bounds
-    the chunks that a Python worker remembers.
+    with characters outside Latin script, before or after lower-casing, go through the
+    library whole. ``room`` bounds the chunks that a Python worker remembers.
     """
 
     def __init__(self, path: str, room: int = 700_000):
@@ -58,14 +58,19 @@ class WordEncoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         for text in texts:
             if "<|" in text or _PLAIN.search(text):
-                ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                yield np.array(ids, dtype="<u4").tobytes()
+                yield self._library(text)
+                continue
+            low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+            if not low.isascii() and _PLAIN.search(low):  # some capitals have small letters beyond the range
+                yield self._library(text)
                 continue
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
             if len(self.known) > self.room:
                 self.known.clear()
-            yield b"".join(map(self.known.__getitem__, text.lower().split()))
+            yield b"".join(map(self.known.__getitem__, low.split()))
+
+    def _library(self, text: str) -> bytes:
+        ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def encoder(path: str) -> WordEncoder:

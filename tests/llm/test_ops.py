@@ -277,6 +277,16 @@ def library_ids(texts):
 ODD = ["It's ABC's 's x'll don't 12ab34--..'re", "a<|endoftext|>b", "Éèê ÀÈ ²x½ ª ß", "ﬁ Σας Οδυσσεύς", "a\x1cb\x85c", "_a_b\x00", "日本語 text", "école"]
 
 
+def test_fast_ids_of_every_plain_character():
+    from arealis.llm import tokens
+
+    plain = [c for c in map(chr, range(0x250)) if not tokens._PLAIN.search(c)]
+    texts = [t for c in plain for t in (c, f"a{c}b {c}1{c}", f"x {c}{c.lower()}'s")] + ["Ən yaxşı", "Ɗan Adam", "Ɓera"]
+    got = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode(texts)
+    want = library_ids(texts)
+    assert [t for t, g, w in zip(texts, got, want) if np.frombuffer(g, dtype="<u4").tolist() != w] == []
+
+
 def test_token_files_round_trip(spark, corpus, tmp_path):
     rows = corpus + [(1000 + i, t) for i, t in enumerate(ODD)]
     token_files.write_token_files(frame(spark, rows), f"file://{tmp_path}/t")
