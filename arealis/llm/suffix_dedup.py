@@ -17,6 +17,8 @@ from arealis.llm.common import documents, map_batches, texts_as_bytes, written
 ANCHOR = 128
 #: Bytes of pieces in one suffix array.
 SHARD = 4 << 20
+#: Bytes of pieces under one anchor that one task takes; an anchor with more is dealt to several.
+SALT = 1 << 20
 _U = np.uint64
 
 
@@ -150,7 +152,7 @@ class Shard:
         starts = np.flatnonzero(is_start)
         lcp = np.zeros(len(b), dtype=np.int64)
         lcp[starts] = kasai(self.w, before, starts, 1024)
-        linked = lcp[self.order] >= length  # with the start before it in order
+        self.linked = linked = lcp[self.order] >= length  # with the start before it in order
         self.repeats = np.zeros(len(b), dtype=bool)
         self.repeats[self.order[linked]] = True
         self.repeats[self.order[np.flatnonzero(linked) - 1]] = True
@@ -169,14 +171,20 @@ class Shard:
         self.repeats[mine[hit]] = True
         other.repeats[theirs[found[hit]]] = True
 
+    def classes(self) -> Iterator[tuple[int, int, bool]]:
+        """Piece and start of every different window, the first in order, and whether no other start here equals it."""
+        at = self.order[~self.linked]
+        piece = np.searchsorted(self.offset, at, side="right") - 1
+        return zip(piece.tolist(), (at - self.offset[piece]).tolist(), (~self.repeats[at]).tolist())
+
     def runs(self, k: int) -> list[int]:
         """Starts of piece ``k`` that repeat: first and end of each run."""
         x = np.r_[False, self.repeats[self.offset[k] : self.offset[k] + self.count[k]], False]
         return np.flatnonzero(x[1:] != x[:-1]).tolist()
 
 
-def repeated_runs(pieces: list[tuple[bytes, int]], length: int, shard: int = SHARD) -> list[list[int]]:
-    """Runs for each piece; pieces of more than ``shard`` bytes are split, and the shards merged pairwise."""
+def merged_shards(pieces: list[tuple[bytes, int]], length: int, shard: int = SHARD) -> list[Shard]:
+    """Shards of the pieces in their order; pieces of more than ``shard`` bytes are split, and the shards merged pairwise."""
     parts, size = [[]], 0
     for p in pieces:
         if size > shard:
@@ -188,7 +196,12 @@ def repeated_runs(pieces: list[tuple[bytes, int]], length: int, shard: int = SHA
     for k, s in enumerate(shards):
         for other in shards[:k]:
             s.merge(other)
-    return [s.runs(k) for s in shards for k in range(len(s.count))]
+    return shards
+
+
+def repeated_runs(pieces: list[tuple[bytes, int]], length: int, shard: int = SHARD) -> list[list[int]]:
+    """Runs for each piece."""
+    return [s.runs(k) for s in merged_shards(pieces, length, shard) for k in range(len(s.count))]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -229,8 +242,8 @@ def _several(*key: str) -> Column:
 
 
 def _piece_rows(length: int, content: bool):
-    names = ["h", "r1", "r2", "d1", "d2", "first", "starts", *(["piece"] if content else [])]
-    types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] * content
+    names = ["h", "r1", "r2", "d1", "d2", "first", "starts", *(["salts", "piece"] if content else [])]
+    types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()] * content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,38 +252,68 @@ def _piece_rows(length: int, content: bool):
                 for a in found:
                     piece = text[a["first"] : a["first"] + a["starts"] + length - 1]
                     r = np.frombuffer(xxhash.xxh3_128_digest(piece), dtype="<i8").tolist()
-                    out.append((a["h"], *r, d1, d2, a["first"], a["starts"], *([piece] if content else [])))
+                    out.append((a["h"], *r, d1, d2, a["first"], a["starts"], *([a["salts"], piece] if content else [])))
             for lo in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 20_000]), types)], names=names)
 
     return run
 
 
+_MARKS = "h long, r1 long, r2 long, runs array<int>, start array<int>, w1 array<long>, w2 array<long>"
+
+
 def _shard_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces arrive in the order of their anchors; a shard takes whole anchors where it can."""
+        """Pieces arrive in the order of their anchors and salts; a shard takes whole ones where it can.
+
+        Of anchors with several salts the different windows of the shard go along by
+        their 128-bit digests, with the start where it is not known yet to repeat, else -1.
+        """
         held: list[tuple] = []
-        size, h = 0, None
+        size, key = 0, None
 
         def flush() -> pa.RecordBatch:
-            found = repeated_runs([(r[5], r[4]) for r in held], length)
-            rows = [(*r[:3], [0, r[4]] if r[3] else f) for r, f in zip(held, found)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.list_(pa.int32())])], names=["h", "r1", "r2", "runs"])
+            shards = merged_shards([(r[6], r[5]) for r in held], length)
+            found = [s.runs(k) for s in shards for k in range(len(s.count))]
+            rows = [(*r[:3], [0, r[5]] if r[4] else f, [], [], []) for r, f in zip(held, found)]
+            base = 0
+            for s in shards:
+                for k, at, alone in s.classes() if any(r[3] > 1 for r in held[base : base + len(s.count)]) else ():
+                    r = held[base + k]
+                    if r[3] > 1:
+                        w = np.frombuffer(xxhash.xxh3_128_digest(r[6][at : at + length]), dtype="<i8").tolist()
+                        for column, x in zip(rows[base + k][4:], (at if alone and not r[4] else -1, *w)):
+                            column.append(x)
+                base += len(s.count)
+            types = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["h", "r1", "r2", "runs", "start", "w1", "w2"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "r1", "r2", "several", "starts", "piece"))):
-                if row[0] != h and size > SHARD // 2:
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "r1", "r2", "salts", "several", "starts", "piece", "salt"))):
+                if (row[0], row[7]) != key and size > SHARD // 2:
                     yield flush()
                     held, size = [], 0
-                h = row[0]
+                key = row[0], row[7]
                 held.append(row)
-                size += len(row[5]) + 5
+                size += len(row[6]) + 5
         if held:
             yield flush()
 
     return run
 
 
+def _across_shards(marks: DataFrame) -> DataFrame:
+    """Runs of the starts whose windows stand in another shard of their anchor as well.
+
+    A shard names each of its different windows once, so a window has at most as many
+    rows as its anchor has shards, however many pieces share it.
+    """
+    windows = marks.where(F.size("w1") > 0).select("h", "r1", "r2", F.inline(F.arrays_zip("start", "w1", "w2")))
+    twice = windows.groupBy("h", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("h", "w1", "w2")
+    starts = windows.where("start >= 0").join(twice, ["h", "w1", "w2"]).groupBy("h", "r1", "r2").agg(F.collect_set("start").alias("s"))
+    return starts.select("h", "r1", "r2", F.flatten(F.transform(F.sort_array("s"), lambda x: F.array(x, x + 1))).alias("runs"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, texts, spans)``: see ``repeats_removed``; spans are byte ranges of classes of equal texts.
 
@@ -282,22 +325,25 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     3. Equal pieces collapse, map-side first, so a passage of a third of all documents
        is one piece. Pieces that differ under one anchor go to a suffix array with the
        other pieces of their anchor. Neighbours with ``length`` bytes in common are
-       repeats; an anchor with more pieces than a shard holds has several shards, merged
-       by binary search.
+       repeats. An anchor with more than ``SALT`` bytes of places has its pieces dealt by
+       digest to as many tasks as that asks for; windows that stand in several of its
+       shards meet by their digests.
     """
     keyed = _keyed(docs)
     found = keyed.select("d1", "d2", "text").where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "h long, d1 long, d2 long, first int, starts int")
     found = written(found, "anchors")
-    live = written(found.groupBy("h").agg(_several("d1", "d2", "first").alias("s")).where("s").select("h"), "live-anchors")
-    kept = found.join(live, "h").groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "first", "starts")).alias("anchors"))
+    live = written(found.groupBy("h").agg(_several("d1", "d2", "first").alias("s"), F.ceil(F.sum(F.col("starts").cast("long") + (length - 1)) / SALT).alias("salts")).where("s").select("h", "salts"), "live-anchors")
+    kept = found.join(live, "h").groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "first", "starts", "salts")).alias("anchors"))
     kept = written(kept, "text-anchors")
     rows = written(map_batches(keyed, _row_digest, "doc_id long, d1 long, d2 long, n_bytes long, sha256 string"), "rows")
     classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("owner"))
     texts = keyed.join(kept, ["d1", "d2"]).join(classes, ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("d1", "d2", "text", "anchors", "copies")
     texts = written(texts, "near-texts")
-    pieces = texts.select("d1", "d2", "text", "anchors").mapInArrow(_piece_rows(length, True), "h long, r1 long, r2 long, d1 long, d2 long, first int, starts int, piece binary")
-    distinct = pieces.groupBy("h", "r1", "r2").agg(_several("d1", "d2", "first").alias("several"), F.max("starts").alias("starts"), F.max("piece").alias("piece"))
-    marks = written(distinct.repartition("h").sortWithinPartitions("h", "r1", "r2").mapInArrow(_shard_rows(length), "h long, r1 long, r2 long, runs array<int>").where(F.size("runs") > 0), "marks")
+    pieces = texts.select("d1", "d2", "text", "anchors").mapInArrow(_piece_rows(length, True), "h long, r1 long, r2 long, d1 long, d2 long, first int, starts int, salts long, piece binary")
+    distinct = pieces.groupBy("h", "r1", "r2").agg(_several("d1", "d2", "first").alias("several"), F.max("starts").alias("starts"), F.max("salts").alias("salts"), F.max("piece").alias("piece"))
+    dealt = distinct.withColumn("salt", F.expr("pmod(r1, salts)")).repartition("h", "salt").sortWithinPartitions("h", "salt", "r1", "r2")
+    marks = written(dealt.mapInArrow(_shard_rows(length), _MARKS).where("size(runs) > 0 or size(w1) > 0"), "marks")
+    marks = marks.where(F.size("runs") > 0).select("h", "r1", "r2", "runs").unionByName(_across_shards(marks))
     places = texts.select("d1", "d2", "text", "anchors").mapInArrow(_piece_rows(length, False), "h long, r1 long, r2 long, d1 long, d2 long, first int, starts int")
     spans = places.join(marks, ["h", "r1", "r2"]).groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "runs")).alias("spans"))
     return rows, texts, written(spans, "spans")

@@ -228,6 +228,43 @@ def test_shards_merge_by_binary_search():
     assert suffix_dedup.repeated_runs(pieces, 400) == suffix_dedup.repeated_runs(pieces, 400, shard=3000)
 
 
+@pytest.mark.parametrize("salt", [1 << 20, 5000])
+def test_pieces_of_a_hot_anchor_are_dealt_to_several_tasks(spark, monkeypatch, salt):
+    monkeypatch.setattr(suffix_dedup, "SALT", salt, raising=False)
+    rng, real = random.Random(8), suffix_dedup._shard_rows
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, near = word(900), [word(60) for _ in range(6)]
+    # most contexts are their own, some are those of a few other documents
+    rows = [(i, word(rng.randrange(50, 300)) + (rng.choice(near) if i % 3 == 0 else "") + shared + (rng.choice(near) if i % 4 == 0 else "") + word(rng.randrange(50, 300))) for i in range(300)]
+
+    def counted(length):
+        run = real(length)
+
+        def check(batches):
+            batches = list(batches)
+            most = Counter(x for b in batches for x in b.column("h").to_pylist()).most_common(1)
+            assert salt > 5000 or not most or most[0][1] < 200, "most pieces of one anchor are in one task"
+            yield from run(iter(batches))
+
+        return check
+
+    monkeypatch.setattr(suffix_dedup, "_shard_rows", counted)
+    count = Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
+    want = {}
+    for i, t in rows:
+        gone = set()
+        for k in range(len(t) - 399):
+            if count[t[k : k + 400]] > 1:
+                gone.update(range(k, k + 400))
+        want[i] = (len(gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few bytes would go to one task again
+    try:
+        out = suffix_dedup.repeats_removed(frame(spark, rows), keep_bytes=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in out} == want
+
+
 def test_containment(spark, corpus):
     items = [(1, " ".join(corpus[0][1].split()[:20])), (2, "not in any document of them all"), (3, None), (4, "one two"), (None, " ".join(corpus[5][1].split()[3:30]))]
     docs = [*corpus, (400, "Intro words. " + items[0][1].upper() + " and more"), (401, " ".join((items[0][1].split() * 2)[6:20]))]
