@@ -85,10 +85,10 @@ def token_pieces(docs: DataFrame, room: int = 4096, vocabulary: str | None = Non
     return map_batches(rows, _piece_rows(vocabulary or default_vocabulary(), end_id, room), "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
-_PACKED = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean"
+_PACKED = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean, emptiest boolean"
 
 
-def _pack(room: int, round_: int, last: bool):
+def _pack(room: int, round_: int, last: bool, wide: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pack one partition; what it gives to the exchange has ``final`` false."""
         frames = [p for p in parts if len(p)]
@@ -99,13 +99,14 @@ def _pack(room: int, round_: int, last: bool):
         bins = best_fit(sizes, room)
         fill = np.bincount(bins, weights=sizes).astype(np.int64)
         gap = len(fill) - lower_bound(sizes, room)
-        give = min(len(fill), 1 + 16 * gap)  # the emptiest bin always, more where the bound is not met
+        give = min(len(fill), 1 + 16 * gap * wide)  # the emptiest bin always, more where the bound is not met
         given = np.zeros(len(fill), dtype=bool)
-        given[np.argsort(fill, kind="stable")[:give]] = not last
+        order = np.argsort(fill, kind="stable")
+        given[order[:give]] = not last
         given[fill == room] = False
         p["sequence_id"] = (round_ << 56) + (TaskContext.get().partitionId() << 32) + bins
         p["offset"] = p.groupby("sequence_id")["length"].cumsum() - p["length"]
-        p["final"] = ~given[bins]
+        p["final"], p["emptiest"] = ~given[bins], bins == order[0]
         yield p
 
     return run
@@ -117,23 +118,38 @@ def best_fit_sequences(pieces: DataFrame, room: int = 4096) -> DataFrame:
     Each partition (about ``PIECES_A_TASK`` pieces, dealt by hash) is packed best-fit
     decreasing and compared with its dual-feasible lower bound. A partition that meets
     the bound gives only its emptiest bin to the exchange, one that does not gives
-    sixteen more for each bin over the bound. The exchange is dealt to an eighth of the
-    partitions and packed again, until one partition is left, whose share is what the
-    partitions before it could not close.
+    sixteen more for each bin over the bound. The exchange is dealt to as many partitions
+    as its pieces ask for and packed again, until one partition can take it. A round that
+    saves no sequence is not used: the bins before it are final where they are, and only
+    the emptiest of each partition go on.
 
     Edges: pieces may repeat and ids may be null; every row gets a place; a row's
     ``length`` is 1 to ``room``; no pieces give an empty result.
     """
     pieces = written(pieces, "pieces")
     n = pieces.count()
-    tasks, round_, done, rest = -(-n // PIECES_A_TASK) or 1, 0, [], pieces
+    tasks, round_, done, rest, wide = -(-n // PIECES_A_TASK) or 1, 0, [], pieces, True
+    held, given = None, 0  # what the round before gave, and in how many sequences
+    first = F.count_if(F.col("offset") == 0)
     while True:
-        packed = rest.repartition(tasks, F.xxhash64("doc_id", "piece", "start")).mapInPandas(_pack(room, round_, tasks == 1), _PACKED)
+        packed = rest.repartition(tasks, F.xxhash64(F.lit(round_), "doc_id", "piece", "start")).mapInPandas(_pack(room, round_, tasks == 1, wide), _PACKED)
         packed = written(packed, f"packed-{round_}")
-        done.append(packed.where("final"))
-        if tasks == 1:
-            return reduce(DataFrame.unionByName, done).drop("final")
-        rest, tasks, round_ = packed.where("not final").drop("sequence_id", "offset", "final"), -(-tasks // 8), round_ + 1
+        used, left, passed = packed.agg(first, F.count_if(~F.col("final")), F.count_if((F.col("offset") == 0) & ~F.col("final"))).first()
+        if held is not None and used >= given:  # nothing saved
+            if not wide:
+                done.append(held)
+                break
+            done.append(held.where("not emptiest"))
+            packed, wide = held.where("emptiest"), False
+            passed, left = packed.agg(first, F.count("*")).first()
+        else:
+            done.append(packed.where("final"))
+            packed = packed.where("not final")
+        if not left:
+            break
+        held, given, rest, round_ = packed, passed, packed.select(pieces.columns), round_ + 1
+        tasks = -(-left // PIECES_A_TASK) if wide else min(-(-left // PIECES_A_TASK), max(1, tasks // 2))
+    return reduce(DataFrame.unionByName, done).drop("final", "emptiest")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

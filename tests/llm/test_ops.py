@@ -380,6 +380,22 @@ def test_exchange_between_partitions(spark, monkeypatch):
     assert len({r.sequence_id for r in out}) <= packing.lower_bound(np.array([r[3] for r in rows]), 4096) * 1.02 + 1
 
 
+def test_no_task_packs_more_than_its_share(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_TASK", 300)
+    sizes = np.random.default_rng(4).integers(700, 1300, 3000)
+    rows = [(i, 0, 0, int(x), i) for i, x in enumerate(sizes)]
+    out = packing.best_fit_sequences(spark.createDataFrame(rows, "doc_id long, piece long, start long, length long, ids_crc32 long"))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out = out.collect()
+    bins, tasks = defaultdict(list), Counter(r.sequence_id >> 32 for r in out)  # round and partition
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.doc_id for r in out) == list(range(3000)) and max(tasks.values()) < 600
+    for b in map(sorted, bins.values()):
+        assert [o for o, _ in b] == [sum(x for _, x in b[:k]) for k in range(len(b))] and sum(x for _, x in b) <= 4096
+    assert len(bins) <= packing.best_fit(sizes, 4096).max() + 1 + 10
+
+
 def test_lower_bound_never_exceeds_a_packing():
     rng = np.random.default_rng(1)
     for _ in range(40):
