@@ -430,7 +430,7 @@ def connected(t: Tables) -> DataFrame:
 
 @query()
 def thinning(t: Tables) -> DataFrame:
-    return rank.thin(people(t).where("id % 5 = 0"), "id", "x", "y", 0.3).select("id")
+    return rank.thin(people(t), "id", "x", "y", 0.3).select("id")
 
 
 @query(f"SELECT CAST(min(x0) AS DOUBLE) AS xmin, max(x0 + 1) AS xmax, count(*) AS n FROM {_AREAS}")

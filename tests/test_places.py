@@ -86,6 +86,19 @@ def test_thinning_equals_the_walk(spark):
     assert got == {p[0] for p in kept}
 
 
+def test_thinning_query_walks_all_customers(spark):
+    from arealis.plans import places
+
+    points = spark.range(1, 121).selectExpr("id c_custkey", "'a' c_mktsegment", "0.0D c_acctbal")
+    kept = []
+    for i in range(1, 121):
+        p = i * 37 % 5000 / 1000, i * 91 % 5000 / 1000
+        if all(math.hypot(p[0] - q[1], p[1] - q[2]) >= 0.3 for q in kept):
+            kept.append((i, *p))
+    tables = type("T", (), {"customer": points})()
+    assert {r.id for r in places.thinning(tables).collect()} == {p[0] for p in kept}
+
+
 def dem(spark, z):
     return spark.createDataFrame([(r, c, float(v)) for r, line in enumerate(z) for c, v in enumerate(line)], "row long, col long, v double")
 
