@@ -20,7 +20,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs at most the tasks after this point,
-    and what is read twice is computed once.
+    and what is read twice is computed once. ``deleted`` frees the folder of a table
+    that nothing will read any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -28,6 +29,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(*tables: DataFrame) -> None:
+    """Delete the folders of tables made by ``written``, once what was derived from them is written itself."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -78,7 +87,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        e = written(small.select("e.*").where("u != v").distinct(), name)
+        last, e = e, written(small.select("e.*").where("u != v").distinct(), name)
+        deleted(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

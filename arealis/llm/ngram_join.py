@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealis.llm.common import connected_components, documents, map_batches, texts_as_bytes, written
+from arealis.llm.common import connected_components, deleted, documents, map_batches, texts_as_bytes, written
 from arealis.llm.decontamination import SHINGLES_SQL, WORDS_SQL
+from arealis.llm.signature_tree import DEN, NUM, Sketch, bitmap, possible_links
 
-#: Two documents link when ``DEN * intersection >= NUM * union``.
-NUM, DEN = 75, 100
-#: Shingles that one tree holds, about.
-TREE_SHINGLES = 1 << 20
+#: Shingles whose bitmaps one tree holds, about.
+TREE_SHINGLES = 1 << 24
+#: How far above the limit a pair's estimated similarity must be for it to stand for others until it is checked.
+MARGIN = 0.02
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,13 +46,14 @@ def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
     return np.unique(_mix(run))
 
 
-def signature(s: np.ndarray, hot: np.ndarray, few: int = 24) -> np.ndarray:
+def signature(s: np.ndarray, hot: np.ndarray, few: int | None = 24) -> np.ndarray:
     """Shingles of which any two linked sets share one.
 
     In one fixed order of all shingles, frequent ones last and hash values otherwise, a
     link leaves the first quarter of either set a common shingle (prefix filter). Larger
     sets with few frequent shingles need no more than their first ``few``: hash order is
-    random, so a link would be missed with a chance below 1e-11.
+    random, so a link would be missed with a chance below 1e-11; with None they keep the
+    whole quarter.
     """
     n = len(s)
     prefix = n - -(-NUM * n // DEN) + 1
@@ -60,22 +63,23 @@ def signature(s: np.ndarray, hot: np.ndarray, few: int = 24) -> np.ndarray:
         s = np.concatenate([s[~is_hot], s[is_hot]])
         if is_hot.sum() * 10 > n:
             return s[:prefix]
-    return s[: min(prefix, few)]
+    return s[: min(prefix, few or prefix)]
 
 
-def _set_rows(hot):
+def _set_rows(hot, few):
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
         frequent = hot.value if hot is not None else np.zeros(0, dtype=np.uint64)
-        n, d, sig = [], [], []
+        n, d, sig, bits = [], [], [], []
         for text in texts_as_bytes(b.column("text")):
             s = shingle_set(text)
             n.append(len(s))
             d.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sig.append(signature(s, frequent).view(np.int64))
+            sig.append(signature(s, frequent, few).view(np.int64))
+            bits.append(bitmap(s))
         digests = np.frombuffer(b"".join(d), dtype="<i8").reshape(-1, 2)
         ends = np.cumsum([0, *map(len, sig)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sig)))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], names=["doc_id", "n_shingles", "d1", "d2", "signature"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists, pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "signature", "bits"])
 
     return rows
 
@@ -96,176 +100,177 @@ def _frequent(docs: DataFrame, rate: int = 16, least: int = 5, most: int = 100_0
     return np.sort(top.view(np.uint64))
 
 
-class SignatureTree:
-    """Sets with like signatures side by side; each node has the OR of their signature
-    shingles, the OR and AND of bitmaps of all shingles, and the range of their sizes."""
-
-    LEAF = 8
-
-    def __init__(self, sets: list[np.ndarray], signatures: list[np.ndarray], bits: int):
-        self.sets = sets
-        seen, n = np.unique(np.concatenate(signatures), return_counts=True)
-        shared = seen[n > 1]  # others have no part in any link
-        places = [np.searchsorted(shared, np.intersect1d(s, shared)) for s in signatures]
-        self.order = sorted(range(len(sets)), key=lambda i: (places[i].tolist()[:4], len(sets[i])))
-        self.marks = [_bits(p, len(shared)) for p in places]
-        self.maps = [_bits(np.unique(s & np.uint64(bits - 1)).astype(np.int64), bits) for s in sets]
-        self.root = self._node(0, len(sets))
-
-    def _node(self, lo: int, hi: int) -> list:
-        """``[lo, hi, marks, OR, AND, least size, largest size, children, a set if all are known to be connected]``."""
-        if hi - lo <= self.LEAF:
-            own = self.order[lo:hi]
-            marks, either, every = 0, 0, -1
-            for i in own:
-                marks, either, every = marks | self.marks[i], either | self.maps[i], every & self.maps[i]
-            sizes = [len(self.sets[i]) for i in own]
-            return [lo, hi, marks, either, every, min(sizes), max(sizes), (), None]
-        mid = (lo + hi) // 2
-        a, b = self._node(lo, mid), self._node(mid, hi)
-        return [lo, hi, a[2] | b[2], a[3] | b[3], a[4] & b[4], min(a[5], b[5]), max(a[6], b[6]), (a, b), None]
-
-
-def _bits(places: np.ndarray, n: int) -> int:
-    flags = np.zeros(n, dtype=bool)
-    flags[places] = True
-    return int.from_bytes(np.packbits(flags).tobytes(), "big")
-
-
-def _possible(either_a: int, every_a: int, low_a: int, high_a: int, either_b: int, every_b: int, low_b: int, high_b: int) -> bool:
-    """Whether some pair below two nodes can overlap enough: a bit that all of one node's
-    sets have and none of the other's is a token that no intersection has."""
-    if high_a * DEN < NUM * low_b or high_b * DEN < NUM * low_a:
-        return False
-    most = min(high_a - (every_a & ~either_b).bit_count(), high_b - (every_b & ~either_a).bit_count())
-    return most * (NUM + DEN) >= NUM * (low_a + low_b)
-
-
-def tree_links(names: list[int], sets: list[np.ndarray], signatures: list[np.ndarray], salts: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect exactly the names which links connect.
-
-    Dual traversal of one tree. Node pairs go if they share no signature shingle, if no
-    pair of theirs can overlap enough, or if earlier links connect all they hold; so a
-    group of near copies gives about as many links as it has members. With two different
-    ``salts``, only pairs across them are looked at.
+def _places(members: DataFrame, full: bool) -> DataFrame:
+    """``(t, size, i, j, node, side)``: which trees the members of each group go to.
+
+    ``members`` has ``(t, node, n, component)``. A group that fits one tree has one.
+    Others are split by size first (sets that link are in one of two neighbouring
+    levels), and these by hash. In the first pass a block is searched by itself, with one
+    set of every other block in it, so that a group of near copies is connected across
+    its blocks. The ``full`` pass pairs all blocks; a component that takes up a block or
+    more has blocks of its own, which are not paired with each other.
     """
-    if len(names) < 2:
-        return []
-    largest = max(map(len, sets))
-    tree = SignatureTree(sets, signatures, min(1 << 16, 1 << max(6, (2 * largest).bit_length())))
-    parent = {x: x for x in names}
-    across = salts is not None and len(set(salts)) > 1
-    out = []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def one_root(node: list) -> int | None:
-        """The root of all that a node holds, if it is one; once it is, it stays so."""
-        if node[8] is None:
-            roots = {one_root(c) for c in node[7]} if node[7] else {find(names[tree.order[k]]) for k in range(node[0], node[1])}
-            if len(roots) > 1 or None in roots:
-                return None
-            node[8] = roots.pop()
-        return find(node[8])
-
-    todo = [(tree.root, tree.root)]
-    while todo:
-        p, q = todo.pop()
-        if not p[2] & q[2] or not _possible(*p[3:7], *q[3:7]):
-            continue
-        root = one_root(p)
-        if root is not None and (p is q or root == one_root(q)):
-            continue
-        if p[7] or q[7]:
-            if p is q:
-                a, b = p[7]
-                todo += [(a, b), (b, b), (a, a)]
-            elif p[7] and (not q[7] or p[1] - p[0] >= q[1] - q[0]):
-                todo += [(x, q) for x in p[7]]
-            else:
-                todo += [(p, x) for x in q[7]]
-            continue
-        for k in range(p[0], p[1]):
-            i = tree.order[k]
-            for m in range(k + 1 if p is q else q[0], q[1]):
-                j = tree.order[m]
-                if not tree.marks[i] & tree.marks[j] or across and salts[i] == salts[j] or find(names[i]) == find(names[j]):
-                    continue
-                a, b, x, y = len(sets[i]), len(sets[j]), tree.maps[i], tree.maps[j]
-                if not _possible(x, x, a, a, y, y, b, b):
-                    continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if DEN * common >= NUM * (a + b - common):
-                    parent[find(names[i])] = find(names[j])
-                    out.append((names[i], names[j]))
-    return out
-
-
-_GROUP = ["component", "size", "i", "j"]
-
-
-def _shard_links(hot):
+    zero = F.lit(0).cast("long")
+    weight = members.groupBy("t").agg(F.sum("n").alias("all"))
+    level = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM))).cast("long")
+    members = members.join(weight, "t").withColumn("level", F.when(F.col("all") > TREE_SHINGLES, level))
+    small = members.where("level is null").select("t", zero.alias("size"), zero.alias("i"), zero.alias("j"), "node", zero.alias("side"))
+    large = members.where("level is not null").withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1))).select("t", "size", "node", "n", "component")
+    if full:
+        alone = large.groupBy("t", "size", "component").agg(F.sum("n").alias("c")).where(F.col("c") > TREE_SHINGLES).select("t", "size", "component", F.col("component").alias("own"))
+        large = large.join(alone, ["t", "size", "component"], "left").select("t", "size", "node", "n", F.coalesce("own", F.lit(-1)).alias("own"))
+    else:
+        large = large.withColumn("own", F.lit(-1).cast("long"))
+    blocks = large.groupBy("t", "size", "own").agg(F.ceil(F.sum("n") / TREE_SHINGLES).alias("blocks"))
+    large = large.join(blocks, ["t", "size", "own"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    at = ["t", "size", "own", "k"]
+    if not full:
+        lead = large.groupBy("t", "size", "k").agg(F.min_by("node", F.xxhash64("node", F.lit(3))).alias("node"), F.max("blocks").alias("blocks"))
+        lead = lead.select("t", "size", "k", "node", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i")).where("i != k").select("t", "size", "i", F.col("i").alias("j"), "node", zero.alias("side"))
+        return small.unionByName(large.select("t", "size", F.col("k").alias("i"), F.col("k").alias("j"), "node", zero.alias("side"))).unionByName(lead)
+    number = F.row_number().over(Window.partitionBy("t", "size").orderBy("own", "k")).cast("long")  # blocks, of which a group has few
+    numbered = written(blocks.withColumn("k", F.explode(F.sequence(zero, F.col("blocks") - 1))).select(*at, number.alias("b")), "blocks")
+    pairs = numbered.alias("x").join(numbered.alias("y"), ["t", "size"]).where("x.b <= y.b and (x.own != y.own or x.own = -1)")
+    pairs = written(pairs.select("t", "size", F.col("x.b").alias("i"), F.col("y.b").alias("j")), "block-pairs")
+    sides = pairs.select("t", "size", "i", "j", F.col("i").alias("b"), zero.alias("side")).unionByName(pairs.where("i != j").select("t", "size", "i", "j", F.col("j").alias("b"), F.lit(1).cast("long").alias("side")))
+    return small.unionByName(large.join(numbered, at).join(sides, ["t", "size", "b"]).select("t", "size", "i", "j", "node", "side"))
+
+
+_GROUP = ["t", "size", "i", "j"]
+
+
+def _tree_pairs(margin: float | None, once: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each group of a partition sorted by group; one group is held at a time."""
+        """Possible links of each group of a partition sorted by group; one group is held at a time."""
 
-        def flush() -> pa.RecordBatch | None:
-            links = tree_links(names, sets, [signature(s, hot.value) for s in sets], salts)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"]) if links else None
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = possible_links(sides[0], sides[1] if key[2] != key[3] else None, known, margin, key[0] if once else None)
+            for lo in range(0, len(pairs), 50_000):
+                u, v, sure = zip(*pairs[lo : lo + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure)], names=["u", "v", "sure"])
 
-        key, names, sets, salts = None, [], [], []
+        key, sides, known = None, ([], []), {}
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "salt", "text"))):
-                if row[:4] != key:
-                    if (found := flush() if key else None) is not None:
-                        yield found
-                    key, names, sets, salts = row[:4], [], [], []
-                tokens = shingle_set((row[6] or "").encode())
-                if len(tokens):
-                    names.append(row[4])
-                    salts.append(row[5])
-                    sets.append(tokens)
-        if key and (found := flush()) is not None:
-            yield found
+            groups = map(frozenset, b.column("signature").to_pylist()) if once else repeat(None)
+            for *this, node, side, component, n, bits, tokens in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "side", "component", "n", "bits")), groups):
+                if this != key:
+                    if key and (len(sides[0]) > 1 or sides[1]):
+                        yield from flush()
+                    key, sides, known = this, ([], []), {}
+                known[node] = component
+                sides[side].append(Sketch(node, n, 8 * len(bits), int.from_bytes(bits, "little"), tokens))
+        if key and (len(sides[0]) > 1 or sides[1]):
+            yield from flush()
 
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, hot) -> DataFrame:
-    """``(u, v)``: links between class representatives that span their components."""
-    held = classes.where("node is not null").select("node", F.explode("signature").alias("t"))
-    tokens = held.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("c > 1")
-    one = written(tokens.groupBy("c", "x1", "x2").agg(F.min("t").alias("t"), F.min("first").alias("first")), "shared-shingles")  # one of the shingles that the same sets hold
-    edges = held.join(one.select("t", "first"), "t").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    near = written(connected_components(edges, "near"), "near-components")
-    # a component too large for one tree is split by size, and sizes by salt into pairs of blocks
-    zero = F.lit(0).cast("long")
-    near = near.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
-    weight = near.groupBy("component").agg(F.sum("n").alias("all"))
-    level = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM))).cast("long")
-    near = written(near.join(weight, "component").withColumn("level", F.when(F.col("all") > TREE_SHINGLES, level)), "near-sizes")
-    small = near.where("level is null").select("component", zero.alias("size"), zero.alias("i"), zero.alias("j"), "node", zero.alias("salt"))
-    large = near.where("level is not null").withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1)))
-    blocks = large.groupBy("component", "size").agg(F.ceil(2 * F.sum("n") / TREE_SHINGLES).alias("blocks"))
-    large = large.join(blocks, ["component", "size"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    large = large.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    large = large.select("component", "size", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt")
-    places = small.unionByName(large).groupBy("node").agg(F.collect_list(F.struct(*_GROUP, "salt")).alias("places"))
-    # texts travel, not their shingles: these are many times as large
-    texts = docs.join(places, F.col("doc_id") == F.col("node")).select("node", "text", F.explode("places").alias("p")).select("p.*", "node", "text")
-    return texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_shard_links(hot), "u long, v long")
-
-
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def _possible(members: DataFrame, classes: DataFrame, found: DataFrame, full: bool, trust: bool) -> DataFrame:
+    """``(u, v, sure)`` with ``u > v``: what the trees of all groups leave possible.
+
+    In the ``full`` pass the signatures go along, and a pair comes from one group only.
+    """
+    sketches = classes.select("node", F.col("n_shingles").alias("n"), "bits", *(["signature"] if full else [])).where("node is not null")
+    placed = _with_components(_places(members, full).join(sketches, "node"), found)
+    pairs = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_tree_pairs(MARGIN if trust else None, full), "u long, v long, sure boolean")
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "sure").where("u != v")
+    return written(pairs.groupBy("u", "v").agg(F.max("sure").alias("sure")), "possible")
+
+
+def _with_components(rows: DataFrame, found: DataFrame, node: str = "node", name: str = "component") -> DataFrame:
+    """``rows`` with the component of ``node`` as ``name``, itself where it has no link yet."""
+    of = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(of, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _check_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether pairs of texts are linked by their whole sets; rows come in the order of ``v``."""
+    last, tokens = None, np.zeros(0, dtype=np.uint64)
+    for b in batches:
+        found = []
+        for x, y in zip(texts_as_bytes(b.column("text_u")), texts_as_bytes(b.column("text_v"))):
+            if y != last:
+                last, tokens = y, shingle_set(y)
+            mine = shingle_set(x)
+            common = len(np.intersect1d(mine, tokens, assume_unique=True))
+            found.append(bool(common) and DEN * common >= NUM * (len(mine) + len(tokens) - common))
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(found)], names=["u", "v", "linked"])
+
+
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(u, v, linked)`` for ``(u, v)``."""
+    both = pairs.select("u", "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    rows = both.mapInArrow(_check_rows, "u long, v long, linked boolean")
+    return rows.groupBy("u", "v").agg(F.max("linked").alias("linked"))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``(u, v, cu, cv)``: pairs whose ends are not known to be connected, with the components of the ends."""
+    return _with_components(_with_components(pairs.select("u", "v"), found, "u", "cu"), found, "v", "cv").where("cu != cv")
+
+
+def _settled(possible: DataFrame, texts: DataFrame, checked: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(checked, found)`` with every possible pair checked unless its ends are known to be connected."""
+    todo = written(_apart(possible.join(checked, ["u", "v"], "left_anti"), found).select("u", "v"), "unchecked")
+    if todo.isEmpty():
+        return checked, found
+    ends = todo.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = written(texts.join(ends, "node", "left_semi"), "near-texts")
+    checked = written(checked.unionByName(_checked(todo, texts)), "checked")
+    found = written(connected_components(checked.where("linked"), "links"), "components")
+    deleted(todo, texts)
+    return checked, found
+
+
+def _connected_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(node, component)`` of the class representatives that have links.
+
+    First each set goes to the groups of its first two shared shingles, which connects
+    most near copies; then all groups that still hold several components are searched.
+    """
+    spark = docs.sparkSession
+    held = classes.where("node is not null").select("node", F.col("n_shingles").alias("n"), F.xxhash64("d1", "d2").alias("key"), F.posexplode("signature").alias("place", "t"))
+    tokens = held.groupBy("t").agg(F.count("*").alias("c"), F.bit_xor("key").alias("x"), F.sum(F.hash("key").cast("long")).alias("s")).where("c > 1")
+    one = tokens.groupBy("c", "x", "s").agg(F.min("t").alias("t")).select("t")  # the least of the shingles that the same sets hold
+    members = written(held.drop("key").join(one, "t"), "members")
+    nodes = members.select("node").distinct()
+    # the one time that texts are shuffled; sorted, since at scale no side of this fits a broadcast
+    texts = written(docs.hint("merge").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"), "texts")
+    checked, found = spark.createDataFrame([], "u long, v long, linked boolean"), spark.createDataFrame([], "node long, component long")
+
+    def search(now: DataFrame, full: bool, trust: bool) -> DataFrame:
+        nonlocal checked, found
+        now = _with_components(now, found)
+        if full:
+            several = now.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("t")
+            now = written(now.join(several, "t", "left_semi"), "open-members")
+        possible = _possible(now, classes, found, full, trust)
+        checked, found = _settled(possible, texts, checked, found)
+        return possible
+
+    first = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "t", "n"))), 1, 2).alias("m"))
+    first = written(first.select("node", F.inline("m")).select("t", "node", "n"), "first-members")
+    trusted = search(first, full=False, trust=True).unionByName(search(members, full=True, trust=True))
+    # a trusted pair may turn out to be no link: what it kept from being looked at lies between components of such ends
+    wrong = _apart(trusted.where("sure").join(checked.where("not linked"), ["u", "v"], "left_semi"), found)
+    wrong = written(wrong.select(F.explode(F.array("cu", "cv")).alias("component")).distinct(), "wrong")
+    if not wrong.isEmpty():
+        near = _with_components(members, found).join(wrong, "component", "left_semi").select(*members.columns)
+        search(near, full=True, trust=False)
+    deleted(members, first, texts)
+    return found
+
+
+def jaccard_components(docs: DataFrame, few: int | None = 24) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: what links of similar shingle sets connect.
 
     Documents with equal sets fall into one class first. Classes that share a signature
-    shingle may link; the components of that relation are the shards, within which a
-    signature tree finds the pairs and full sets confirm them. Shards too large for one
-    task are dealt out as pairs of blocks, sets of sizes that can link only.
+    shingle meet in a group; what travels to it is a bitmap of four to eight bits a
+    shingle. In each group a signature tree finds the pairs that can link by size and
+    bitmap, and whole texts confirm them, only as many as it takes to connect what links
+    connect. Groups too large for one tree are split by size and dealt out as blocks.
+    ``few`` bounds the signature of sets with few frequent shingles (see ``signature``);
+    with None the prefix filter is complete. Shingles are compared as 64-bit hashes.
 
     Nulls and edges: null and empty texts have no shingles and are linked with nothing;
     a row whose ``doc_id`` is null gets the component of its copies, or null, and makes
@@ -274,12 +279,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
-    rows = written(map_batches(docs, _set_rows(hot), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>"), "sets")
-    classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    sets = written(map_batches(docs, _set_rows(hot, few), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bits binary"), "sets")
+    classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
-    found = written(connected_components(_links(docs, classes, hot), "links"), "components")
-    named = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(written(named, "class-components"), ["d1", "d2"], "left")
+    rows = written(sets.select("doc_id", "n_shingles", "d1", "d2"), "rows")
+    deleted(sets)
+    found = _connected_classes(docs, classes)
+    named = written(classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")), "class-components")
+    deleted(classes)
+    out = rows.join(named, ["d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

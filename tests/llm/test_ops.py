@@ -12,6 +12,7 @@ import pytest
 import public_tokenizers
 from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 from arealis.llm.common import connected_components, crc_held_out
+from arealis.llm.signature_tree import Sketch, bitmap, possible_links, width_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, component long, local string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -153,19 +154,41 @@ def test_tree_links_connect_what_all_pairs_connect():
         return {frozenset(i for i in range(len(sets)) if find(i) == r) for r in {find(i) for i in range(len(sets))}}
 
     every = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
-    marks = [ngram_join.signature(s, np.zeros(0, dtype=np.uint64)) for s in sets]
-    assert groups(ngram_join.tree_links(list(range(len(sets))), sets, marks)) == groups(every)
-    # two shards of blocks see the same links together
-    salts = [k % 2 for k in range(len(sets))]
-    halves = [[i for i in range(len(sets)) if salts[i] == h] for h in (0, 1)]
-    found = [x for h in halves for x in ngram_join.tree_links(h, [sets[i] for i in h], [marks[i] for i in h])]
-    assert groups(found + ngram_join.tree_links(list(range(len(sets))), sets, marks, salts)) == groups(every)
-
-
-def test_large_shards_are_split(spark, corpus, monkeypatch):
-    want = by_row(ngram_join.jaccard_components(frame(spark, corpus)), "doc_id", "component_id")
-    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 60)
-    assert by_row(ngram_join.jaccard_components(frame(spark, corpus)), "doc_id", "component_id") == want
+    sketches = [Sketch(i, len(s), width_of(len(s)), int.from_bytes(bitmap(s), "little")) for i, s in enumerate(sets)]
+    real = set(every)
+    linked = lambda pairs: [(a, b) for a, b, _ in pairs if (max(a, b), min(a, b)) in real]
+    found = possible_links(sketches, margin=None)
+    assert real <= {(max(a, b), min(a, b)) for a, b, _ in found}
+    found = possible_links(sketches)
+    assert all((max(a, b), min(a, b)) in real for a, b, sure in found if sure) and groups(linked(found)) == groups(every)
+    assert len(found) < len(real) / 4
+    # two blocks see the same links together, and what is known to be connected is left out
+    halves = [sketches[::2], sketches[1::2]]
+    parts = [possible_links(h) for h in halves] + [possible_links(*halves)]
+    assert groups([x for p in parts for x in linked(p)]) == groups(every)
+    assert not linked(possible_links(sketches, connected={i: min(g) for g in groups(every) for i in g}))
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = int(rng.integers(1, 90)), int(rng.integers(1, 90))
+        pool = rng.integers(0, 1 << 62, 100, dtype=np.uint64)
+        x, y = np.unique(rng.choice(pool, a)), np.unique(rng.choice(pool, b))
+        s, t = (Sketch(0, len(k), width_of(len(k)), int.from_bytes(bitmap(k), "little")) for k in (x, y))
+        if 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)):
+            assert possible_links([s, Sketch(1, t.size, t.width, t.bits)], margin=None)
+
+
+def test_large_groups_are_split(spark, corpus, monkeypatch):
+    rows = [*corpus, *((400 + i, corpus[0][1].replace("ab", f"ab{i} ", 1)) for i in range(12)), *((500 + i, corpus[4][1] + f" tail{i} x{i % 3}") for i in range(12))]
+    want = by_row(ngram_join.jaccard_components(frame(spark, rows)), "doc_id", "component_id")
+    for size in (60, 700):
+        monkeypatch.setattr(ngram_join, "TREE_SHINGLES", size)
+        assert by_row(ngram_join.jaccard_components(frame(spark, rows)), "doc_id", "component_id") == want
+    monkeypatch.setattr(ngram_join, "MARGIN", -0.6)  # trusted pairs that are none
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 1 << 24)
+    assert by_row(ngram_join.jaccard_components(frame(spark, rows), few=None), "doc_id", "component_id") == want
 
 
 def test_components_of_a_long_path(spark):
