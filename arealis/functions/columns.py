@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words in a column name that decide its rounding, and the sentinel for "no estimate".
-WHOLE_WORDS = ("pop", "income", "count", "total", "households", "units")
-PERCENT_WORDS = ("pct", "percent", "rate", "share")
+PERCENT_WORDS = ("rate", "pct", "percent", "ratio", "proportion")
+WHOLE_WORDS = ("income", "cost", "price", "rent", "value", "median_h", "count", "total", "pop", "universe", "number")
 SENTINEL = -666666666
 
 
@@ -31,12 +31,16 @@ def no_sentinel(c: Column, income: bool = False) -> Column:
 
 
 def smart_round(c: Column, name: str) -> Column:
-    """Half-to-even rounding: by words in ``name``, else by magnitude."""
-    if any(w in name.lower() for w in WHOLE_WORDS):
-        return F.bround(c, 0)
+    """Half-to-even rounding of the binary value: by words in ``name``, else by magnitude."""
+
+    def to(digits: int) -> Column:  # ``bround`` would round the shortest decimal text instead
+        return F.rint(c * 10**digits) / 10**digits
+
     if any(w in name.lower() for w in PERCENT_WORDS):
-        return F.bround(c, 1)
-    return F.when(F.abs(c) >= 1000, F.bround(c, 0)).when(F.abs(c) >= 1, F.bround(c, 1)).otherwise(F.bround(c, 2))
+        return to(2)
+    if any(w in name.lower() for w in WHOLE_WORDS):
+        return to(0)
+    return F.when(F.abs(c) >= 1000, to(0)).when(F.abs(c) >= 1, to(1)).otherwise(to(2))
 
 
 def geoid(*parts: tuple[Column, int]) -> Column:
@@ -45,14 +49,12 @@ def geoid(*parts: tuple[Column, int]) -> Column:
 
 
 def break_label(low: Column, high: Column, percent: bool = False) -> Column:
-    """``low - high`` with digits by magnitude and thousands separators."""
+    """Both ends with an en dash, digits by magnitude and thousands separators; ``percent`` adds one ``%``."""
 
     def one(c: Column) -> Column:
-        if percent:
-            return F.concat(F.format_number(c, 1), F.lit("%"))
         return F.when(F.abs(c) >= 100, F.format_number(c, 0)).when(F.abs(c) >= 1, F.format_number(c, 1)).otherwise(F.format_number(c, 2))
 
-    return F.concat(one(low), F.lit(" - "), one(high))
+    return F.concat(one(low), F.lit("\u2013"), one(high), F.lit("%" if percent else ""))
 
 
 def full_address(full: Column | None, *parts: Column) -> Column:

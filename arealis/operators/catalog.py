@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,12 +10,19 @@ from pyspark.sql import functions as F
 
 
 def freshness(sources: DataFrame, as_of: str) -> DataFrame:
-    """``sources(…, cadence, last_date, next_release)``: STALE, OK or UNKNOWN on a day."""
-    # Days after which a source of a cadence is stale.
-    limit = F.when(F.col("cadence") == "continuous", 7).when(F.col("cadence") == "monthly", 45).when(F.col("cadence") == "quarterly", 120)
-    day = F.lit(as_of).cast("date")
+    """``sources(…, frequency, threshold_days, last_date, next_release)``: STALE, OK or UNKNOWN on a day.
+
+    ``next_release`` is text, a year (taken as its first of July) or a year and month;
+    other texts are ignored. Once that day has come, a newer vintage is likely there.
+    Sources of frequent cadence are stale by their own threshold, 365 days if it is null,
+    and unknown without a date of retrieval.
+    """
+    r, day = F.col("next_release"), F.lit(as_of).cast("date")
+    release = F.when(r.rlike(r"^\d{4}$"), F.concat(r, F.lit("-07-01"))).when(r.rlike(r"^\d{4}-\d{2}$"), F.concat(r, F.lit("-01"))).try_cast("date")
     age = F.datediff(day, F.col("last_date"))
-    status = F.when(F.col("next_release").isNotNull() & (F.col("next_release") <= day), "STALE").when(limit.isNotNull() & F.col("last_date").isNull(), "UNKNOWN").when(limit.isNotNull() & (age > limit), "STALE").otherwise("OK")
+    frequent = F.col("frequency").isin("continuous", "monthly", "quarterly")
+    late = age > F.coalesce("threshold_days", F.lit(365))
+    status = F.when(release <= day, "STALE").when(frequent & F.col("last_date").isNull(), "UNKNOWN").when(frequent & late, "STALE").otherwise("OK")
     return sources.withColumns({"age_days": age, "freshness": status})
 
 
@@ -46,16 +54,16 @@ def search_inventory(df: DataFrame, project: str, text: Sequence[str], needle: s
     return df.where(F.contains(F.lower(F.concat_ws(" ", *text)), F.lit(needle.lower()))).select(project).distinct()
 
 
-def search(df: DataFrame, query: str, k: int, tie: str, id_col: str, name: str, brief: str, full: str, category: str | None = None) -> DataFrame:
-    """Rows by the words of a query: whole and partial hits of id and name, then the texts."""
-    score: Column = F.lit(0.0)
+def search(df: DataFrame, query: str, k: int, tie: str, id_col: str, name: str, brief: str, full: str, uses: str | None = None, category: str | None = None) -> DataFrame:
+    """Rows by a query: its whole text in id, name and category, and each of its words in id, name and texts."""
     low = lambda c: F.coalesce(F.lower(F.col(c).cast("string")), F.lit(""))
-    q = query.lower().strip()
+    q, terms = query.lower(), re.findall(r"\w+", query.lower())
     # Points of each field.
-    score = score + F.when(low(id_col) == q, 10.0).otherwise(0.0) + F.when(low(name) == q, 8.0).otherwise(0.0)
-    for w in q.split():
-        for c, points in ((id_col, 3.0), (name, 2.0), (brief, 1.5), (full, 1.0), *([(category, 2.0)] if category else [])):
-            score = score + F.when(low(c).contains(w), points).otherwise(0.0)
+    whole = [(id_col, 10.0), (name, 8.0), *([(category, 2.0)] if category else [])]
+    part = [(id_col, 3.0), (name, 2.0), (brief, 1.5), (full, 1.0), *([(uses, 0.5)] if uses else [])]
+    score: Column = F.lit(0.0)
+    for c, points, needle in [(c, p, q) for c, p in whole] + [(c, p, w) for c, p in part for w in terms]:
+        score = score + F.when(low(c).contains(needle), points).otherwise(0.0)
     return df.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), tie).limit(k)
 
 

@@ -101,7 +101,7 @@ def drop_empty_geom(df: DataFrame, column: str = "rings") -> DataFrame:
 def flag_institutional(df: DataFrame, name: str, poverty: str | None = None) -> DataFrame:
     """Flag places whose name or poverty rate points to students, prisoners or soldiers."""
     # Words that mark such places.
-    found = F.lower(name).rlike("university|college|prison|correctional|jail|military|barracks|dormitory")
+    found = F.lower(name).rlike("university|college|prison|correctional|penitentiary|military|air force|fort|naval|army|marine|hospital|reservation")
     if poverty:
         found = found | (F.col(poverty) > 60)
     return df.withColumn("institutional", F.coalesce(found, F.lit(False)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,12 @@ def overall(checks: DataFrame) -> DataFrame:
 
 
 def quality_points(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """100 less the share of null cells, and its letter."""
-    null = sum((F.count_if(F.col(c).isNull()) for c in numeric[1:]), F.count_if(F.col(numeric[0]).isNull()))
-    pts = 100 - 100.0 * null / F.nullif(F.count("*") * len(numeric), F.lit(0))
-    # Grade bounds.
-    return df.agg(F.round(F.coalesce(pts, F.lit(0.0)), 2).alias("points")).withColumn("grade", F.when(F.col("points") >= 90, "A").when(F.col("points") >= 80, "B").when(F.col("points") >= 70, "C").when(F.col("points") >= 60, "D").otherwise("F"))
+    """Points for data quality, 30 at most: ten each for a layer, numeric columns and under 20% of null cells."""
+    null = reduce(Column.__add__, (F.count_if(F.col(c).isNull()) for c in numeric)) if numeric else F.lit(None).cast("long")
+    pct = F.coalesce(100.0 * null / F.nullif(F.count("*") * len(numeric), F.lit(0)), F.lit(0.0))
+    # Points and the limit of null cells.
+    points = 10 + (10 + F.when(pct < 20, 10).otherwise(0) if numeric else F.lit(0))
+    return df.agg(points.cast("int").alias("points"), F.lit(30).alias("possible"), F.round(pct, 1).alias("null_pct"))
 
 
 def check_contract(log: DataFrame, required: Mapping[str, Sequence[str]], kind: str = "kind", payload: str = "payload") -> DataFrame:

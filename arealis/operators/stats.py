@@ -79,8 +79,11 @@ def moran_gate(moran: DataFrame) -> DataFrame:
     return moran.withColumns({"gate": ok, "strength": F.when(ok & (F.col("moran_i") >= 0.3), "strong").when(ok, "moderate").otherwise("none")})
 
 
-def hotspots(df: DataFrame, W: DataFrame, y: str, key: str = "id", alpha: float = 0.05, fdr: bool = False) -> DataFrame:
-    """Getis-Ord Gi* with the area itself, p, and tiers of 90, 95 and 99% that pass the threshold."""
+def hotspots(df: DataFrame, W: DataFrame, y: str, key: str = "id", alpha: float = 0.05, fdr: bool = True) -> DataFrame:
+    """Getis-Ord Gi* with the area itself, p, and tiers of 90, 95 and 99% that pass the threshold.
+
+    The threshold is that of the false discovery rate, or ``alpha`` itself without ``fdr``.
+    """
     own = df.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(1.0).alias("w"))
     full = W.select("i", "j", "w").unionByName(own)
     v = df.select(F.col(key).alias("j"), F.col(y).alias("_y"))
@@ -91,7 +94,7 @@ def hotspots(df: DataFrame, W: DataFrame, y: str, key: str = "id", alpha: float
     limit = fdr_threshold(out, "gi_p", alpha) if fdr else None
     out = out.join(F.broadcast(limit)) if fdr else out.withColumn("threshold", F.lit(alpha))
     a = F.abs("gi_z")
-    level = F.when(F.col("gi_p") > F.col("threshold"), None).when(a >= 2.58, "99%").when(a >= 1.96, "95%").when(a >= 1.65, "90%")
+    level = F.when(F.col("gi_p") > F.col("threshold"), None).when(a >= 2.58, "(99%)").when(a >= 1.96, "(95%)").when(a >= 1.65, "(90%)")
     label = F.when(level.isNull(), "Not Significant").otherwise(F.concat(F.when(F.col("gi_z") > 0, "Hot Spot ").otherwise("Cold Spot "), level))
     return out.withColumn("tier", label)
 

@@ -72,13 +72,13 @@ def dot_counts(t: Tables) -> DataFrame:
     return classify.dots(a, "pop", 10.0, "id").groupBy(F.col("id").cast("int").alias("id")).agg(F.count("*").alias("dots"))
 
 
-@query("SELECT c_custkey, regexp_matches(lower(c_name), 'university|college|prison|correctional|jail|military|barracks|dormitory') OR c_acctbal > 60 AS institutional FROM customer")
+@query("SELECT c_custkey, regexp_matches(lower(c_name), 'university|college|prison|correctional|penitentiary|military|air force|fort|naval|army|marine|hospital|reservation') OR c_acctbal > 60 AS institutional FROM customer")
 def institutional_flags(t: Tables) -> DataFrame:
     return clean.flag_institutional(t.customer, "c_name", "c_acctbal").select("c_custkey", "institutional")
 
 
 @query("""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 1000000000),
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
 c AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS context FROM l)
 SELECT doc_id, CAST(n AS INTEGER) AS n, md5(context) AS context FROM c WHERE contains(lower(line), 'license')""")
 def context_lines(t: Tables) -> DataFrame:

@@ -220,11 +220,12 @@ def morans_i(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT i, j, w FROM {_QUEEN} UNION ALL SELECT id, id, 1 FROM {_Y}),
-s AS (SELECT i, sum(w * y) wy, sum(w) w, sum(w * w) w2 FROM f JOIN {_Y} ON id = j GROUP BY 1),
+WITH q AS (SELECT i, j, w FROM {_QUEEN} UNION ALL SELECT id, id, 1 FROM {_Y}),
+s AS (SELECT i, sum(w * y) wy, sum(w) w, sum(w * w) w2 FROM q JOIN {_Y} ON id = j GROUP BY 1),
 m AS (SELECT avg(y) m, sqrt(var_pop(y)) s, count(*) n FROM {_Y}),
-z AS (SELECT i AS id, (wy - m * w) / (s * sqrt((n * w2 - w * w) / (n - 1))) AS z FROM s, m), p AS (SELECT id, z, {_p('z')} AS p FROM z)
-SELECT id, round(z, 6) AS gi_z, round(p, 6) AS gi_p, CASE WHEN p > 0.05 OR abs(z) < 1.65 THEN 'Not Significant' ELSE CASE WHEN z > 0 THEN 'Hot Spot ' ELSE 'Cold Spot ' END || CASE WHEN abs(z) >= 2.58 THEN '99%' WHEN abs(z) >= 1.96 THEN '95%' ELSE '90%' END END AS tier FROM p""")
+z AS (SELECT i AS id, (wy - m * w) / (s * sqrt((n * w2 - w * w) / (n - 1))) AS z FROM s, m), p AS (SELECT id, z, {_p('z')} AS p FROM z),
+o AS (SELECT *, row_number() OVER (ORDER BY p) * 0.05 / count(*) OVER () AS bound, 0.05 / count(*) OVER () AS least FROM p), f AS (SELECT coalesce(max(bound) FILTER (WHERE p <= bound), max(least)) AS threshold FROM o)
+SELECT id, round(z, 6) AS gi_z, round(p, 6) AS gi_p, CASE WHEN p > threshold OR abs(z) < 1.65 THEN 'Not Significant' ELSE CASE WHEN z > 0 THEN 'Hot Spot ' ELSE 'Cold Spot ' END || CASE WHEN abs(z) >= 2.58 THEN '(99%)' WHEN abs(z) >= 1.96 THEN '(95%)' ELSE '(90%)' END END AS tier FROM p, f""")
 def gi_star(t: Tables) -> DataFrame:
     return select6(stats.hotspots(_y(t), stats.weights(areas(t), "queen"), "y").drop("threshold"), "id", "tier")
 
@@ -237,10 +238,10 @@ def lisa(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_tax / 0.09 * 0.2 + 0.0001 AS p FROM lineitem WHERE l_linenumber = 1), r AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM p)
+WITH p AS (SELECT l_tax / 0.09 * 0.2 + 0.0001 AS p FROM lineitem), r AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM p)
 SELECT round(coalesce(max(i * 0.05 / n) FILTER (WHERE p <= i * 0.05 / n), any_value(0.05 / n)), 9) AS threshold FROM r""")
 def fdr(t: Tables) -> DataFrame:
-    p = t.lineitem.where("l_linenumber = 1").select((F.col("l_tax") / 0.09 * 0.2 + 0.0001).alias("p"))
+    p = t.lineitem.select((F.col("l_tax") / 0.09 * 0.2 + 0.0001).alias("p"))
     return stats.fdr_threshold(p, "p").select(F.round("threshold", 9).alias("threshold"))
 
 

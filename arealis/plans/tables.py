@@ -405,11 +405,10 @@ def null_gate(t: Tables) -> DataFrame:
     return rows.select("check", "status", "value")
 
 
-@query("""SELECT round(100 - 100.0 * (count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE user_id IS NULL)) / (count(*) * 2), 2) AS points,
-CASE WHEN 100 - 100.0 * (count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE user_id IS NULL)) / (count(*) * 2) >= 90 THEN 'A' ELSE 'B or lower' END AS grade FROM events""")
+@query("""WITH n AS (SELECT 100.0 * sum((value IS NULL)::INT + (user_id IS NULL)::INT) / (2 * count(*)) AS pct FROM events)
+SELECT 20 + CASE WHEN pct < 20 THEN 10 ELSE 0 END AS points, 30 AS possible, CAST(round(pct, 1) AS DOUBLE) AS null_pct FROM n""")
 def quality_points(t: Tables) -> DataFrame:
-    out = quality.quality_points(t.events, ["value", "user_id"])
-    return out.select(F.col("points").cast("double").alias("points"), F.when(F.col("grade") == "A", "A").otherwise("B or lower").alias("grade"))
+    return quality.quality_points(t.events, ["value", "user_id"])
 
 
 @query("""SELECT event_id, CASE WHEN event_type NOT IN (SELECT max(event_type) FROM events) THEN 'WARN' WHEN json_extract(props, '$.k') IS NOT NULL THEN 'PASS' ELSE 'FAIL' END AS status FROM events""")
@@ -419,11 +418,16 @@ def check_contract(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_custkey AS source, max(CAST(o_orderdate AS DATE)) last_date, CASE o_custkey % 3 WHEN 0 THEN 'continuous' WHEN 1 THEN 'monthly' ELSE 'quarterly' END AS cadence FROM orders GROUP BY 1)
-SELECT source, CAST(date_diff('day', last_date, DATE '2001-06-30') AS INTEGER) age_days, CASE WHEN last_date IS NULL THEN 'UNKNOWN' WHEN date_diff('day', last_date, DATE '2001-06-30') > CASE cadence WHEN 'continuous' THEN 7 WHEN 'monthly' THEN 45 ELSE 120 END THEN 'STALE' ELSE 'OK' END AS freshness FROM s""")
+WITH s AS (SELECT o_custkey AS source, max(CAST(o_orderdate AS DATE)) AS last_date, CASE o_custkey % 4 WHEN 0 THEN 'continuous' WHEN 1 THEN 'monthly' WHEN 2 THEN 'quarterly' ELSE 'annual' END AS frequency,
+ CASE WHEN o_custkey % 5 > 0 THEN 30 * (o_custkey % 5) END AS threshold, CASE o_custkey % 7 WHEN 0 THEN DATE '2001-07-01' WHEN 1 THEN DATE '2001-05-01' WHEN 2 THEN DATE '2000-07-01' END AS release FROM orders GROUP BY o_custkey)
+SELECT source, CAST(date_diff('day', last_date, DATE '2001-06-30') AS INTEGER) AS age_days, CASE WHEN release <= DATE '2001-06-30' THEN 'STALE' WHEN frequency = 'annual' THEN 'OK'
+ WHEN last_date IS NULL THEN 'UNKNOWN' WHEN date_diff('day', last_date, DATE '2001-06-30') > coalesce(threshold, 365) THEN 'STALE' ELSE 'OK' END AS freshness FROM s""")
 def freshness(t: Tables) -> DataFrame:
-    cadence = F.when(F.col("source") % 3 == 0, "continuous").when(F.col("source") % 3 == 1, "monthly").otherwise("quarterly")
-    s = t.orders.groupBy(F.col("o_custkey").alias("source")).agg(F.max(F.to_date("o_orderdate")).alias("last_date")).withColumn("cadence", cadence).withColumn("next_release", F.lit(None).cast("date"))
+    c = F.col("source")
+    frequency = F.when(c % 4 == 0, "continuous").when(c % 4 == 1, "monthly").when(c % 4 == 2, "quarterly").otherwise("annual")
+    release = F.when(c % 7 == 0, "2001").when(c % 7 == 1, "2001-05").when(c % 7 == 2, "2000").when(c % 7 == 3, "soon")
+    s = t.orders.groupBy(F.col("o_custkey").alias("source")).agg(F.max(F.to_date("o_orderdate")).alias("last_date"))
+    s = s.withColumns({"frequency": frequency, "threshold_days": F.when(c % 5 > 0, 30 * (c % 5)), "next_release": release})
     return catalog.freshness(s, "2001-06-30").select("source", "age_days", "freshness")
 
 
@@ -442,15 +446,14 @@ def staleness_impact(t: Tables) -> DataFrame:
     return catalog.impact(catalog.staleness(used, F.broadcast(newest)))
 
 
-_TERMS = "contains(lower(coalesce({c}, '')), '{w}')::INT"
+_FOUND = "contains(lower(coalesce(CAST({c} AS VARCHAR), '')), '{w}')::INT * {p}"
+_SCORE = " + ".join([_FOUND.format(c=c, w="src1 license, mit", p=p) for c, p in (("source", 10), ("doc_id", 8), ("lang", 2))] + [_FOUND.format(c=c, w=w, p=p) for w in ("src1", "license", "mit") for c, p in (("source", 3), ("doc_id", 2), ("lang", 1.5), ("text", 1), ("source || ' ' || lang", 0.5))])
 
 
-@query("""
-WITH s AS (SELECT doc_id, (contains(lower(source), 'src1')::INT) * 2.0 + (contains(lower(lang), 'src1')::INT) * 1.5 + (contains(lower(text), 'src1')::INT) * 1.0 + (contains(CAST(doc_id AS VARCHAR), 'src1')::INT) * 3.0
- + (contains(lower(source), 'license')::INT) * 2.0 + (contains(lower(lang), 'license')::INT) * 1.5 + (contains(lower(text), 'license')::INT) * 1.0 + (contains(CAST(doc_id AS VARCHAR), 'license')::INT) * 3.0 AS score FROM documents)
-SELECT doc_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+@query(f"""SELECT doc_id, CAST({_SCORE} AS DOUBLE) AS score FROM documents WHERE {_SCORE} > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def keyword_search(t: Tables) -> DataFrame:
-    return catalog.search(t.documents, "src1 license", 20, "doc_id", "doc_id", "source", "lang", "text").select("doc_id", "score")
+    docs = t.documents.withColumn("uses", F.concat_ws(" ", "source", "lang"))
+    return catalog.search(docs, "src1 license, mit", 20, "doc_id", "source", "doc_id", "lang", "text", "uses", "lang").select("doc_id", "score")
 
 
 @query("SELECT DISTINCT source FROM documents WHERE contains(lower(concat_ws(' ', text, lang)), 'public license')")
@@ -499,11 +502,11 @@ def scalar_functions(t: Tables) -> DataFrame:
     return t.events.select("event_id", r6(to_numeric(F.col("value").cast("string")), "v"), r6(no_sentinel(F.col("value"), income=True), "income"), geoid((F.col("user_id"), 5), (F.col("event_id") % 100, 2)).alias("geoid"), full_address(None, F.col("event_type"), F.col("user_id").cast("string")).alias("address"), r6(travel_minutes(F.col("value"), "drive"), "minutes"))
 
 
-@query("""SELECT p_partkey, round_even(p_retailprice, 0) AS price_total, round_even(p_retailprice / 100, 1) AS price_pct,
-CASE WHEN abs(p_retailprice) >= 1000 THEN round_even(p_retailprice, 0) WHEN abs(p_retailprice) >= 1 THEN round_even(p_retailprice, 1) ELSE round_even(p_retailprice, 2) END AS price FROM part""")
+@query("""SELECT p_partkey, round_even(p_retailprice, 0) AS price_total, round_even(p_retailprice / 100, 2) AS price_pct, round_even(p_retailprice / 7, 0) AS price,
+CASE WHEN abs(p_retailprice) >= 1000 THEN round_even(p_retailprice, 0) WHEN abs(p_retailprice) >= 1 THEN round_even(p_retailprice, 1) ELSE round_even(p_retailprice, 2) END AS score FROM part""")
 def smart_rounding(t: Tables) -> DataFrame:
     p = F.col("p_retailprice")
-    return t.part.select("p_partkey", smart_round(p, "price_total").alias("price_total"), smart_round(p / 100, "price_pct").alias("price_pct"), smart_round(p, "price").alias("price"))
+    return t.part.select("p_partkey", smart_round(p, "price_total").alias("price_total"), smart_round(p / 100, "price_pct").alias("price_pct"), smart_round(p / 7, "price").alias("price"), smart_round(p, "score").alias("score"))
 
 
 @query("SELECT o_orderkey AS order_key, o_totalprice AS price, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F'")
@@ -556,6 +559,10 @@ def record_payload(t: Tables) -> DataFrame:
     return payloads.from_records(t.events, {"id": ["event_id"], "label": ["absent", "props", "event_type"]})
 
 
-@query("SELECT p_partkey, format('{:,.1f}', p_size / 1.0) || '%' || ' - ' || format('{:,.1f}', p_size + 1.0) || '%' AS label FROM part")
+_END = "CASE WHEN abs({x}) >= 100 THEN format('{{:,.0f}}', {x}) WHEN abs({x}) >= 1 THEN format('{{:,.1f}}', {x}) ELSE format('{{:,.2f}}', {x}) END"
+
+
+@query(f"SELECT p_partkey, {_END.format(x='(p_size / 8.0)::DOUBLE')} || '\u2013' || {_END.format(x='(p_size * 501)::DOUBLE')} || '%' AS label, {_END.format(x='p_size::DOUBLE')} || '\u2013' || {_END.format(x='(p_size + 60)::DOUBLE')} AS plain FROM part")
 def break_labels(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", break_label(F.col("p_size").cast("double"), F.col("p_size") + F.lit(1.0), percent=True).alias("label"))
+    s = F.col("p_size").cast("double")
+    return t.part.select("p_partkey", break_label(s / 8, s * 501, percent=True).alias("label"), break_label(s, s + 60).alias("plain"))

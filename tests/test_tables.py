@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from arealis.functions.columns import clean_name, smart_round, to_numeric
+from arealis.functions.columns import break_label, clean_name, smart_round, to_numeric
 from arealis.operators import catalog, classify, clean, joins, profile, quality, rank, rates
 
 
@@ -107,3 +107,20 @@ def test_stage_status(spark):
     log = spark.createDataFrame([("a", "x", "stage_start", "2024-01-01 00:00:00"), ("a", "x", "stage_end", "2024-01-01 00:01:00"), ("a", "y", "stage_start", "2024-01-01 00:00:00"), ("a", "z", "stage_end", "2024-01-01 00:00:00"), ("a", "w", "stage_start", "2024-01-01 00:00:00"), ("a", "w", "stage_start", "2024-01-01 00:00:05")], "run string, stage string, event string, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r.stage: (r.status, r.seconds) for r in rank.stage_status(log, "run", "stage", "event", "ts").collect()}
     assert got == {"x": ("completed", 60), "y": ("running", None), "z": ("pending", None), "w": ("restarted", None)}
+
+
+def test_reference_rules(spark):
+    df = spark.createDataFrame([(9.075, 2.5, 1234.5, 0.126)], "a double, b double, c double, d double")
+    got = df.select(smart_round(F.col("a"), "poverty_rate"), smart_round(F.col("b"), "count"), smart_round(F.col("a"), "rent"), smart_round(F.col("c"), "x"), smart_round(F.col("d"), "x"))
+    assert rows(got) == [tuple(float(round(v, n)) for v, n in ((9.075, 2), (2.5, 0), (9.075, 0), (1234.5, 0), (0.126, 2)))]
+    labels = df.select(break_label(F.lit(0.5), F.lit(12.25)), break_label(F.lit(99.5), F.lit(12345.6), percent=True))
+    assert rows(labels) == [("0.50\u201312.2", "99.5\u201312,346%")]
+    names = spark.createDataFrame([("Fort Hood",), ("State Penitentiary",), ("Jail",)], "name string")
+    assert [r.institutional for r in clean.flag_institutional(names, "name").collect()] == [True, True, False]
+    sources = spark.createDataFrame([("annual", None, None, "2001"), ("annual", None, None, "2000-06"), ("monthly", 60, "2000-04-01", None), ("monthly", None, "2000-04-01", "soon"), ("quarterly", 90, None, None)], "frequency string, threshold_days int, last_date string, next_release string")
+    sources = sources.withColumn("last_date", F.to_date("last_date"))
+    assert [r.freshness for r in catalog.freshness(sources, "2000-07-01").collect()] == ["OK", "STALE", "STALE", "OK", "UNKNOWN"]
+    cells = spark.createDataFrame([(1, None), (2, 1.0), (3, 2.0), (4, 3.0)], "a int, b double")
+    assert rows(quality.quality_points(cells, ["a", "b"])) == [(30, 30, 12.5)] and rows(quality.quality_points(cells, ["b"])) == [(20, 30, 25.0)]
+    tools = spark.createDataFrame([("gdal:slope", "Slope", "slope of a raster", "angle", "terrain use"), ("x", "Aspect", "direction", "slope too", None)], "id string, name string, brief string, full string, uses string")
+    assert [(r.id, r.score) for r in catalog.search(tools, "slope, use", 5, "id", "id", "name", "brief", "full", "uses").collect()] == [("gdal:slope", 3 + 2 + 1.5 + 0.5), ("x", 1.0)]
