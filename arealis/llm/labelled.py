@@ -5,27 +5,30 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.llm.common import crc_held_out, held_out, map_batches
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows_a_class: int, max_chars: int = 200_000) -> tuple[pd.DataFrame, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows_a_class: int, max_chars: int, all_chars: int = 32_000_000) -> tuple[pd.DataFrame, float]:
     """``(text, label)`` of at most ``rows_a_class`` documents of each class, on the driver, and the share of label 1.
 
     Rows whose ``doc_id`` is held out, and null labels, are never taken. An id with
-    several labels counts as 1 if any is. The rows are those whose id hashes lowest, so
-    the sample is the same in every run; texts of more than ``max_chars`` characters are
-    not learned from, which bounds the bytes. The id list is at most two times
-    ``rows_a_class`` rows and is broadcast.
+    several labels counts as 1 if any is; of an id with several texts the smallest is
+    learned from. The documents are those whose id hashes lowest, so the sample is the same
+    in every run. Texts of more than ``max_chars`` characters are not learned from, nor
+    what exceeds ``all_chars`` together, so the driver's bytes are bounded. The id list is
+    at most two times ``rows_a_class`` rows and is broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     picks = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_class) for k in (0, 1)]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    found = texts.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").toPandas()
-    found = found.assign(text=found["text"].fillna("")).sort_values(["doc_id", "text"], ignore_index=True)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    found = texts.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most two times rows_a_class rows
+    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= all_chars).toPandas()
+    found = found.sort_values("doc_id", ignore_index=True)
     share = known.agg(F.avg("label")).first()[0]
     return found[["text", "label"]], 0.5 if share is None else share
 

@@ -451,3 +451,46 @@ def test_classifiers_on_held_out_rows(spark, kind):
     assert sum(r.predicted == (positive if r.doc_id % 2 else 1 - positive) for r in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 for r in out)
     assert f(frame(spark, rows), lab.limit(0)).count() == len(rows) and f(frame(spark, []), lab).count() == 0
+
+
+def test_kneser_ney_against_plain_counts():
+    rng = random.Random(2)
+    vocabulary = [a + b for a in ("loud", "quiet", "ab", "meanest") for b in ("", "er", "est", "ly", "xx")]
+    texts = [[rng.choice(vocabulary[: 20 if i % 2 else 13]) for _ in range(30)] for i in range(40)]
+    labels = np.array([i % 2 for i in range(40)])
+    m = toxicity.KneserNey.fit(*(lambda ids, names: (ids, labels, names))(*toxicity.numbered(map(" ".join, texts))), 2.0, 2.0)
+    known = sorted({w for t in texts for w in t})
+    pairs = {p for t in texts for p in zip(t, t[1:])}
+    shared = {w: 1 + sum(b == w for _, b in pairs) for w in known}
+    for c in (0, 1):
+        mine = [t for t, y in zip(texts, labels) if y == c]
+        both = [[t for t, y in zip(texts, labels) if y == k] for k in (0, 1)]
+
+        def level(cut, lower):
+            items = {cut(w) for w in known}
+            count = [{x: sum(len({w for w in set(t) if cut(w) == x}) for t in docs) for x in items} for docs in both]
+            kept = [{x: max(n - 2, 0) for x, n in k.items()} for k in count]
+            spare = 1 - sum(sum(kept[k].values()) / sum(count[k].values()) for k in (0, 1)) / 2
+            return {x: (1 - spare) * kept[c][x] / sum(kept[c].values()) + spare * lower(x) for x in items}
+
+        mass = lambda n, x: sum(s for w, s in shared.items() if w[:n] == x)
+        p4 = level(lambda w: w[:4], lambda x: mass(4, x) / (sum(shared.values()) + 1))
+        p6 = level(lambda w: w[:6], lambda x: p4[x[:4]] * mass(6, x) / (mass(4, x[:4]) + 1))
+        word = level(lambda w: w, lambda x: p6[x[:6]] * shared[x] / (mass(6, x[:6]) + 1))
+        assert sum(word.values()) < 1
+        for v in known:
+            n = [Counter(b for t in docs for a, b in set(zip(t, t[1:])) if a == v) for docs in both]
+            left = [{w: max(k - 2, 0) for w, k in x.items()} for x in n]
+            if all(sum(x.values()) for x in left):
+                spare = 1 - sum(sum(left[k].values()) / sum(n[k].values()) for k in (0, 1)) / 2
+                want = {w: (1 - spare) * left[c].get(w, 0) / sum(left[c].values()) + spare * word[w] for w in known}
+            else:
+                want = word
+            got = {w: m.probabilities([v, w])[c, 1] for w in known}
+            assert all(abs(got[w] - want[w]) < 1e-12 for w in known)
+            # what is missing to one is what unknown words of each beginning get
+            rest = 1 - sum(word.values())
+            assert abs(1 - sum(want.values()) - rest * (spare if want is not word else 1)) < 1e-12
+        assert mine
+    assert m.features([]) == (0.0,) * 4 and abs(m.features(["unheard"])[0]) < 1e-12
+    assert m.features(["meanestzz"])[0] > 0  # an unknown form of a beginning that is more toxic

@@ -6,7 +6,6 @@ import numpy as np
 
 import corpus_pipeline
 from arealis.llm import toxicity
-from arealis.llm.labelled import labelled_sample
 from test_ops import plain_lines, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_match_plain_versions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = toxicity.train(*labelled_sample(docs, spark.read.parquet(f"{SF}/labels.parquet"), "toxic", 3000))
+    model = toxicity.toxicity_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = [r for r in rows if toxicity.score_texts(model, [r[1]])[0] < 0.5]
     bench = [(r.item_id, shingles(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
