@@ -194,12 +194,12 @@ def _decoded(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for b in batches:
-            for shard, block, docs, counts, marks, stream in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "doc_ids", "n_tokens", "checkpoints", "stream"))):
+            for shard, block, docs, counts, marks, stream, first in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "doc_ids", "n_tokens", "checkpoints", "stream", "first"))):
                 ids = unpack_bits(stream, np.frombuffer(marks, dtype="<i8"), sum(counts), table).astype("<u4")
                 at = np.r_[0, np.cumsum(counts)]
                 parts = [ids[at[k] : at[k + 1]].tobytes() for k in range(len(docs))]
                 n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([block] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(docs, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.binary())], names=["shard", "block", "place", "doc_id", "at", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([block] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(docs, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.binary()), pa.array(first + at[:-1], pa.int64())], names=["shard", "block", "place", "doc_id", "at", "n_tokens", "ids", "start"])
 
     return run
 
@@ -223,7 +223,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     at = F.coalesce(F.sum(size).over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = blocks.select("shard", "block", "n_tokens").withColumn("block_at", at).drop("n_tokens").join(F.broadcast(firsts), "shard")
     places = places.select("shard", "block", (F.col("block_at") + F.col("shard_at")).alias("first"))
-    return blocks.mapInArrow(_decoded(lengths), "shard int, block int, place int, doc_id long, at long, n_tokens long, ids binary").join(places, ["shard", "block"]).withColumn("start", F.col("first") + F.col("at")).drop("first")
+    # positions go to the blocks while these are still packed
+    return blocks.join(places, ["shard", "block"]).mapInArrow(_decoded(lengths), "shard int, block int, place int, doc_id long, at long, n_tokens long, ids binary, start long")
 
 
 def token_digest(rows: DataFrame) -> DataFrame:
