@@ -115,17 +115,15 @@ def _ids(parts: list[bytes], tokens: int) -> np.ndarray:
 def _id_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of each document with the end id, in the order of the partition, and their block."""
-        shard, ord_, before, encode = TaskContext.get().partitionId(), 0, 0, encoder(path).encode
-        end, narrow = np.array([end_id], dtype="<u4").tobytes(), encoder(path).whole.get_vocab_size() <= 1 << 16
+        shard, ord_, before, words = TaskContext.get().partitionId(), 0, 0, encoder(path, narrow=True)
+        end = np.array([end_id], dtype="<u2" if words.narrow else "<u4").tobytes()
         for b in batches:
             docs, texts = b.column("doc_id"), [x or "" for x in b.column("text").to_pylist()]
             for lo in range(0, len(texts), 500):
-                ids = [x + end for x in encode(texts[lo : lo + 500])]
-                n, counts = len(ids), [len(x) // 4 for x in ids]
+                ids = [x + end for x in words.encode(texts[lo : lo + 500])]
+                n, counts = len(ids), [len(x) // len(end) for x in ids]
                 blocks = ((before + np.cumsum([0, *counts[:-1]])) // BLOCK).astype(np.int32)
                 before += sum(counts)
-                if narrow:
-                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(blocks), pa.array(range(ord_, ord_ + n), pa.int64()), docs.slice(lo, n), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "block", "ord", "doc_id", "n_tokens", "ids"])
                 ord_ += n
 

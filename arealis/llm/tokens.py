@@ -12,7 +12,7 @@ import numpy as np
 
 #: Texts whose characters all lie here split at white space before any other rule applies.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,16 +25,19 @@ def _byte_letters() -> dict[int, str]:
 class _Chunks(dict):
     """Ids of a white-space-separated chunk of a normalised text, found on first use."""
 
-    def __init__(self, library):
-        self.tokenize, self.letters = library.model.tokenize, _byte_letters()
+    def __init__(self, library, code: str):
+        self.tokenize, self.letters, self.code = library.model.tokenize, _byte_letters(), code
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ɏ²³¹¼-¾]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():  # a word that is mostly known already, and a mark
+            ids = self[chunk] = self[chunk[:-1]] + self[chunk[-1]]
+            return ids
         if chunk.isascii():
             pieces = [chunk] if chunk.isalpha() else self.pieces(chunk)
         else:
             pieces = [p.encode().decode("latin-1").translate(self.letters) for p in self.pieces(chunk)]
-        ids = self[chunk] = array("I", [t.id for p in pieces for t in self.tokenize(p)]).tobytes()
+        ids = self[chunk] = array(self.code, [t.id for p in pieces for t in self.tokenize(p)]).tobytes()
         return ids
 
 
@@ -44,18 +47,20 @@ class WordEncoder:
     The word vocabulary lower-cases, drops white space and never merges across it, so a
     text's ids are those of its chunks in turn. Texts with a special token's string or
     with characters outside Latin script, before or after lower-casing, go through the
-    library whole. ``room`` bounds the chunks that a Python worker remembers.
+    library whole. With ``narrow``, vocabularies of up to 65,536 ids give two bytes an id.
+    ``room`` bounds the chunks that a Python worker remembers.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, narrow: bool = False, room: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole, self.room = Tokenizer.from_file(path), room
-        self.known = _Chunks(self.whole)
+        self.narrow = narrow and self.whole.get_vocab_size() <= 1 << 16
+        self.known = _Chunks(self.whole, "H" if self.narrow else "I")
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned 32-bit integers, or 16-bit ones if ``narrow``."""
         for text in texts:
             if "<|" in text or _PLAIN.search(text):
                 yield self._library(text)
@@ -70,14 +75,14 @@ class WordEncoder:
 
     def _library(self, text: str) -> bytes:
         ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return np.array(ids, dtype="<u2" if self.narrow else "<u4").tobytes()
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, narrow: bool = False) -> WordEncoder:
+    """One encoder for each vocabulary file and Python worker; ``narrow`` asks for two bytes an id where the vocabulary allows it."""
+    if (path, narrow) not in _ENCODERS:
+        _ENCODERS[path, narrow] = WordEncoder(path, narrow)
+    return _ENCODERS[path, narrow]
 
 
 def default_vocabulary() -> str:
