@@ -19,6 +19,8 @@ ANCHOR = 128
 SHARD = 4 << 20
 #: Bytes of pieces under one anchor that one task takes; an anchor with more is dealt to several.
 SALT = 1 << 20
+#: Places of an anchor in its windows that share one context.
+BLOCK = 16
 _U = np.uint64
 
 
@@ -259,6 +261,41 @@ def _piece_rows(length: int, content: bool):
     return run
 
 
+def anchor_place(piece: bytes, starts: int, length: int) -> int:
+    """Where in a piece the anchor stands that all its ``starts`` windows picked."""
+    h = _rolling(np.frombuffer(piece, dtype=np.uint8)) & ~_U((1 << 28) - 1)
+    return starts - 1 + int(h[starts - 1 : length - ANCHOR + 1].argmin())
+
+
+def _context_rows(length: int):
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        """What all windows of a piece with their anchor at ``BLOCK`` neighbouring places have in common."""
+        out = []
+        for h, r1, r2, salt, starts, piece in zip(*(b.column(c).to_pylist() for c in ("h", "r1", "r2", "salt", "starts", "piece"))):
+            at = anchor_place(piece, starts, length)
+            for block in range((at - starts + 1) // BLOCK, at // BLOCK + 1):
+                context = piece[at - block * BLOCK : at + length - (block + 1) * BLOCK + 1]
+                out.append((h, r1, r2, salt, block, *np.frombuffer(xxhash.xxh3_128_digest(context), dtype="<i8").tolist()))
+        types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["h", "r1", "r2", "salt", "block", "c1", "c2"])
+
+    return rows
+
+
+def _shared_blocks(distinct: DataFrame, length: int) -> DataFrame:
+    """``(h, r1, r2, blocks)``: blocks of a piece whose context another piece of its anchor has.
+
+    Equal windows have their anchor at the same place and so the same context; all other
+    windows of a hot anchor need not be named. A context of very many pieces is counted
+    by shard first, and goes back to the pieces of one shard at a time.
+    """
+    context = ["h", "block", "c1", "c2"]
+    found = written(map_batches(distinct, _context_rows(length), "h long, r1 long, r2 long, salt long, block int, c1 long, c2 long"), "contexts")
+    by_shard = found.groupBy(*context, "salt").agg(F.count("*").alias("n"))
+    shared = by_shard.groupBy(*context).agg(F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1").select(*context, F.explode("salts").alias("salt"))
+    return found.join(shared, [*context, "salt"]).groupBy("h", "r1", "r2").agg(F.collect_set("block").alias("blocks"))
+
+
 _MARKS = "h long, r1 long, r2 long, runs array<int>, start array<int>, w1 array<long>, w2 array<long>"
 
 
@@ -267,7 +304,8 @@ def _shard_rows(length: int):
         """Pieces arrive in the order of their anchors and salts; a shard takes whole ones where it can.
 
         Of anchors with several salts the different windows of the shard go along by
-        their 128-bit digests, with the start where it is not known yet to repeat, else -1.
+        their 128-bit digests, with the start where it is not known yet to repeat, else -1;
+        windows of blocks whose context no other piece has are left out.
         """
         held: list[tuple] = []
         size, key = 0, None
@@ -276,11 +314,12 @@ def _shard_rows(length: int):
             shards = merged_shards([(r[6], r[5]) for r in held], length)
             found = [s.runs(k) for s in shards for k in range(len(s.count))]
             rows = [(*r[:3], [0, r[5]] if r[4] else f, [], [], []) for r, f in zip(held, found)]
+            places = [anchor_place(r[6], r[5], length) if r[8] else 0 for r in held]
             base = 0
             for s in shards:
                 for k, at, alone in s.classes() if any(r[3] > 1 for r in held[base : base + len(s.count)]) else ():
                     r = held[base + k]
-                    if r[3] > 1:
+                    if r[3] > 1 and r[8] and (places[base + k] - at) // BLOCK in r[8]:
                         w = np.frombuffer(xxhash.xxh3_128_digest(r[6][at : at + length]), dtype="<i8").tolist()
                         for column, x in zip(rows[base + k][4:], (at if alone and not r[4] else -1, *w)):
                             column.append(x)
@@ -289,7 +328,7 @@ def _shard_rows(length: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["h", "r1", "r2", "runs", "start", "w1", "w2"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "r1", "r2", "salts", "several", "starts", "piece", "salt"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "r1", "r2", "salts", "several", "starts", "piece", "salt", "blocks"))):
                 if (row[0], row[7]) != key and size > SHARD // 2:
                     yield flush()
                     held, size = [], 0
@@ -327,7 +366,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
        other pieces of their anchor. Neighbours with ``length`` bytes in common are
        repeats. An anchor with more than ``SALT`` bytes of places has its pieces dealt by
        digest to as many tasks as that asks for; windows that stand in several of its
-       shards meet by their digests.
+       shards meet by their digests, if the bytes around the anchor that they share with
+       their neighbours stand in another piece at all.
     """
     keyed = _keyed(docs)
     found = keyed.select("d1", "d2", "text").where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "h long, d1 long, d2 long, first int, starts int")
@@ -339,9 +379,16 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("owner"))
     texts = keyed.join(kept, ["d1", "d2"]).join(classes, ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("d1", "d2", "text", "anchors", "copies")
     texts = written(texts, "near-texts")
-    pieces = texts.select("d1", "d2", "text", "anchors").mapInArrow(_piece_rows(length, True), "h long, r1 long, r2 long, d1 long, d2 long, first int, starts int, salts long, piece binary")
-    distinct = pieces.groupBy("h", "r1", "r2").agg(_several("d1", "d2", "first").alias("several"), F.max("starts").alias("starts"), F.max("salts").alias("salts"), F.max("piece").alias("piece"))
-    dealt = distinct.withColumn("salt", F.expr("pmod(r1, salts)")).repartition("h", "salt").sortWithinPartitions("h", "salt", "r1", "r2")
+    salt = F.expr("pmod(r1, salts)").alias("salt")
+
+    def distinct_pieces(of: DataFrame) -> DataFrame:
+        pieces = of.mapInArrow(_piece_rows(length, True), "h long, r1 long, r2 long, d1 long, d2 long, first int, starts int, salts long, piece binary")
+        return pieces.groupBy("h", "r1", "r2").agg(_several("d1", "d2", "first").alias("several"), F.max("starts").alias("starts"), F.max("salts").alias("salts"), F.max("piece").alias("piece")).select("*", salt)
+
+    cuts = texts.select("d1", "d2", "text", "anchors")
+    hot = cuts.withColumn("anchors", F.filter("anchors", lambda a: a.salts > 1)).where(F.size("anchors") > 0)
+    blocks = _shared_blocks(distinct_pieces(hot), length)
+    dealt = distinct_pieces(cuts).join(blocks, ["h", "r1", "r2"], "left").repartition("h", "salt").sortWithinPartitions("h", "salt", "r1", "r2")
     marks = written(dealt.mapInArrow(_shard_rows(length), _MARKS).where("size(runs) > 0 or size(w1) > 0"), "marks")
     marks = marks.where(F.size("runs") > 0).select("h", "r1", "r2", "runs").unionByName(_across_shards(marks))
     places = texts.select("d1", "d2", "text", "anchors").mapInArrow(_piece_rows(length, False), "h long, r1 long, r2 long, d1 long, d2 long, first int, starts int")
