@@ -133,3 +133,17 @@ def is_valid(rings: Column) -> Column:
 
     simple = lambda r: ~F.exists(edges(r), lambda e: F.exists(edges(r), lambda f: crosses(e, f)))
     return F.coalesce(F.forall(rings, lambda r: (F.size(r) >= 3) & (ring_area(r) != 0) & simple(r)), F.lit(False))
+
+
+def meet(rings: Column, other: Column) -> Column:
+    """Whether a corner of one polygon is on an edge of the other."""
+
+    def on(p: Column, e: Column) -> Column:
+        cross = (e.b.x - e.a.x) * (p.y - e.a.y) - (e.b.y - e.a.y) * (p.x - e.a.x)
+        dot = (p.x - e.a.x) * (p.x - e.b.x) + (p.y - e.a.y) * (p.y - e.b.y)
+        return (F.abs(cross) <= 1e-12) & (dot <= 1e-12)
+
+    def corner(of: Column, lines: Column) -> Column:
+        return F.exists(F.flatten(of), lambda p: F.exists(F.flatten(F.transform(lines, edges)), lambda e: on(p, e)))
+
+    return corner(rings, other) | corner(other, rings)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealis.sources.shared import cut
+
 
 def _distinct(breaks: Sequence[float]) -> list[float]:
     out = list(dict.fromkeys(float(b) for b in breaks))
@@ -108,3 +110,27 @@ def dots(df: DataFrame, col: str, unit: float, key: str, seed: int = 0) -> DataF
     rows = df.where(n > 0).withColumn("dot", F.explode(F.sequence(F.lit(1), n)))
     u = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col(key), F.col("dot")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.withColumns({"x": F.col("xmin") + (F.col("xmax") - F.col("xmin")) * u(1), "y": F.col("ymin") + (F.col("ymax") - F.col("ymin")) * u(2)})
+
+
+def natural_breaks(df: DataFrame, col: str, k: int, rounds: int = 100) -> list[float]:
+    """Edges of ``k`` classes whose values lie close to their class means (Jenks by Lloyd's rounds).
+
+    The rounds start from the quantile classes. Each counts and averages the classes of the
+    counted values, so only ``k`` rows reach the driver, and puts every value to the
+    nearest mean, until nothing moves. Fewer edges if there are fewer values; nulls are
+    left out, no values give no edges.
+    """
+    counts = cut(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    edges = breaks(df, col, k, "quantile")
+    if len(edges) < 3:
+        return edges
+    uppers, before = edges[1:-1], None
+    for _ in range(rounds):
+        place = F.size(F.filter(F.array(*map(F.lit, uppers)), lambda b: F.col("v") > b)) if uppers else F.lit(0)
+        found = counts.groupBy(place.alias("c")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.max("v").alias("hi")).collect()
+        tops = sorted(r.hi for r in found)
+        if tops == before:
+            break
+        means, before = sorted(r["mean"] for r in found), tops
+        uppers = [(a + b) / 2 for a, b in zip(means, means[1:])]
+    return _distinct([edges[0], *tops])

@@ -142,3 +142,8 @@ def thin(df: DataFrame, order: str, x: str, y: str, distance: float, max_rounds:
         if open_rows.isEmpty():
             return df.join(kept.withColumnRenamed("id", order), order, "left_semi")
     raise RuntimeError("thinning did not end")
+
+
+def renumber(df: DataFrame, order: str, name: str = "zone_id", tie: Sequence[str] = ()) -> DataFrame:
+    """Ids 1..N without gaps in the order of a column, as after a filter; rows without a value get none."""
+    return row_rank(df, order, tie, name=name)

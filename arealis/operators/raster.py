@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealis.operators.spatial import nearest_join
+from arealis.functions import geometry as g
+from arealis.operators.spatial import box_pairs, nearest_join, points_in, with_bounds
 from arealis.sources.shared import cut
 
 # Eight neighbours in tie order with their direction codes.
@@ -32,7 +33,7 @@ def raster_calc(bands: DataFrame, expr: str, clip: tuple[float, float] | None =
 
 
 def index(bands: DataFrame, name: str) -> DataFrame:
-    return raster_calc(bands, PRESETS[name], (-1.0, 1.0))
+    return raster_calc(bands, PRESETS[name], (-1.5, 1.5) if name == "SAVI" else (-1.0, 1.0))
 
 
 def align(raster: DataFrame, scale: float) -> DataFrame:
@@ -51,6 +52,22 @@ def raster_clip(raster: DataFrame, rows: tuple[int, int], cols: tuple[int, int])
     return raster.where(F.col("row").between(*rows) & F.col("col").between(*cols))
 
 
+def clip_by_polygons(raster: DataFrame, masks: DataFrame, all_touched: bool = False, size: float = 16.0) -> DataFrame:
+    """Cells whose centre is in one of the polygons ``rings``; with ``all_touched`` cells that share an area with one.
+
+    Cell ``(row, col)`` is the box from ``(col, row)`` to ``(col + 1, row + 1)``. Polygons
+    and cells meet in squares of side ``size``; holes count, and a null mask takes nothing.
+    """
+    masks = masks.where("rings is not null").select("rings")
+    if all_touched:
+        boxes = raster.select("row", "col", F.col("col").cast("double").alias("xmin2"), F.col("row").cast("double").alias("ymin2"), (F.col("col") + 1.0).alias("xmax2"), (F.col("row") + 1.0).alias("ymax2"))
+        cell = F.get(g.box(F.col("xmin2"), F.col("ymin2"), F.col("xmax2"), F.col("ymax2")), F.lit(0))
+        hit = box_pairs(with_bounds(masks), boxes, size).where(g.clip_area(F.col("rings"), cell) > 1e-12)
+    else:
+        hit = points_in(masks, raster.select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y")), size)
+    return raster.join(hit.select("row", "col"), ["row", "col"], "left_semi")
+
+
 def mosaic(rasters: Sequence[DataFrame]) -> DataFrame:
     """The first raster with a value wins."""
     out = None

@@ -91,3 +91,17 @@ def composite_index(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     for g in groups:
         product = product * F.col(g)
     return out.withColumn("composite", product)
+
+
+def share_of_parts(df: DataFrame, parts: list[str], total: str, out: str) -> DataFrame:
+    """Percentage of ``total`` in the columns ``parts`` together.
+
+    Absent columns and nulls count as 0; no total, or one that isn't above 0, gives null.
+    """
+    found = [F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in parts if p in df.columns]
+    return df.withColumn(out, F.when(F.col(total) > 0, sum(found, F.lit(0.0)) / F.col(total) * 100))
+
+
+def density(df: DataFrame, count: str, area: str, out: str) -> DataFrame:
+    """``count`` for each unit of ``area``; null where the area isn't above 0."""
+    return df.withColumn(out, F.when(F.col(area) > 0, F.col(count) / F.col(area)))

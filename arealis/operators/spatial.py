@@ -58,19 +58,34 @@ def points_in(polys: DataFrame, points: DataFrame, size: float) -> DataFrame:
 def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", how: str = "inner", size: float = 1.0, fields: Sequence[str] = ()) -> DataFrame:
     """Join polygons with points (``x, y``) or with convex polygons (``rings2``).
 
-    ``within`` and ``contains`` take points on the right; ``intersects`` means a common
-    area and takes polygons. ``how`` is inner or left; ``fields`` chooses right columns.
+    Points on the right are taken where they are inside. Of polygons, ``intersects``
+    means a common area; ``contains`` and ``within`` that the one covers the other;
+    ``overlaps`` a common area that is all of neither; ``touches`` a common point but no
+    common area (``crosses`` never holds between two polygons). ``how`` is inner, left
+    or right; ``fields`` chooses right columns. Left polygons need not be convex.
     """
     if "rings2" in right.columns:
-        if predicate not in ("intersects", "contains"):
+        if predicate not in ("intersects", "contains", "within", "overlaps", "touches"):
             raise ValueError(f"polygons don't offer {predicate}")
         r = right.withColumn("_b", g.bounds(F.col("rings2"))).select("*", *(F.col(f"_b.{c}").alias(f"{c}2") for c in ("xmin", "ymin", "xmax", "ymax"))).drop("_b")
         both = g.clip_area(F.col("rings"), F.get("rings2", F.lit(0)))
-        hit = both > 0 if predicate == "intersects" else both >= g.area(F.col("rings2")) * (1 - 1e-9)
+        covers, covered = both >= g.area(F.col("rings2")) * (1 - 1e-9), both >= g.area(F.col("rings")) * (1 - 1e-9)
+        hit = {
+            "intersects": both > 0,
+            "contains": covers,
+            "within": covered,
+            "overlaps": (both > g.area(F.col("rings")) * 1e-9) & ~covers & ~covered,
+            "touches": (both <= g.area(F.col("rings")) * 1e-9) & g.meet(F.col("rings"), F.col("rings2")),
+        }[predicate]
         found = box_pairs(with_bounds(left), r, size).where(hit)
         keep = [c for c in right.columns if c != "rings2"]
     else:
         found, keep = points_in(left, right, size), right.columns
+    if how == "right":
+        row = F.struct(*(F.col(c) for c in keep))
+        pairs = found.select(key, row.alias("_p")).distinct().join(left, key)  # repeated right rows are one here
+        out = right.select(row.alias("_r")).join(pairs, F.col("_r").eqNullSafe(F.col("_p")), "left")
+        return out.select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in (fields or keep)))
     found = found.select(key, *(fields or keep))
     return left.join(found, key, "left" if how == "left" else "inner")
 
@@ -157,6 +172,20 @@ def apportion(zones: DataFrame, tracts: DataFrame, zone: str, tract: str, counts
     return zones.select(zone).join(o.groupBy(zone).agg(*s, *m), zone, "left").fillna(0.0, list(counts))
 
 
+def daytime_rings(rings: DataFrame, tracts: DataFrame, site: str, tract: str, count: str, employed: str, size: float) -> DataFrame:
+    """``ring_demographics`` of residents with ``employed`` and ``daytime`` of each ring.
+
+    A ring whose workers are more than 40% of its residents has 1.3 times the people by
+    day; both are cut to whole people. Nulls count as 0.
+    """
+    t = tracts.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (count, employed)})
+    people, work = (ring_demographics(rings, t, site, tract, c, size) for c in (count, employed))
+    out = people.join(work.select(site, "ring", F.col("in_ring").alias("employed")), [site, "ring"])
+    # The multiplier and the share.
+    day = F.when(F.col("employed") > F.col("in_ring") * 0.4, F.col("in_ring") * 1.3).otherwise(F.col("in_ring"))
+    return out.withColumn("daytime", F.floor(day + 1e-9).cast("long"))
+
+
 def ring_demographics(rings: DataFrame, tracts: DataFrame, site: str, tract: str, count: str, size: float) -> DataFrame:
     """Counts between each ring of a site and the next smaller one, and up to it.
 

@@ -110,9 +110,9 @@ def asset_inventory(t: Tables) -> DataFrame:
     return catalog.inventory(p.select(path(".tif")), p.where("page_id % 2 = 0").select(path(".json")), p.where("page_id % 3 = 0").select(path(".txt"), F.col("page_id").alias("rows")))
 
 
-@query("SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 1 AND n_name IS NOT NULL")
+@query("SELECT c_name, c_nationkey FROM customer WHERE c_nationkey = 1 AND c_name IS NOT NULL")
 def facet_filter(t: Tables) -> DataFrame:
-    return catalog.facet_filter(t.nation, n_regionkey=1, n_name=True).select("n_name", "n_regionkey")
+    return catalog.facet_filter(t.customer, c_nationkey=1, c_name=True).select("c_name", "c_nationkey")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) k, n_name, CAST(NULL AS DOUBLE) AS bal FROM nation UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, s_acctbal FROM supplier")
@@ -187,8 +187,8 @@ def shared_breaks(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(x,) for x in e], "edge double")
 
 
-@query(f"SELECT id, round(x0 + 0.5, 3) AS x, true AS inside FROM {_AREAS}")
+@query(f"SELECT id, round(x + 0.25, 3) AS x, true AS inside FROM {_PEOPLE}")
 def surface_points(t: Tables) -> DataFrame:
-    outer = F.get("rings", F.lit(0))
-    p = areas(t).select("id", "rings", g.point_on_surface(outer).alias("p"))
+    outer, x, y = F.get("rings", F.lit(0)), F.col("x"), F.col("y")
+    p = people(t).select("id", g.box(x, y, x + 0.5, y + 0.5).alias("rings")).select("id", "rings", g.point_on_surface(outer).alias("p"))
     return p.select("id", F.round("p.x", 3).alias("x"), g.contains(F.col("rings"), F.col("p.x"), F.col("p.y")).alias("inside"))

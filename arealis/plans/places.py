@@ -434,9 +434,9 @@ def thinning(t: Tables) -> DataFrame:
     return rank.thin(people(t), "id", "x", "y", 0.3).select("id")
 
 
-@query(f"SELECT CAST(min(x0) AS DOUBLE) AS xmin, max(x0 + 1) AS xmax, count(*) AS n FROM {_AREAS}")
+@query(f"SELECT min(x - 0.5) AS xmin, max(x + 0.5) AS xmax, count(*) AS n FROM {_SHOPS}")
 def total_bounds(t: Tables) -> DataFrame:
-    return spatial.with_bounds(areas(t)).agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.count("*").alias("n"))
+    return spatial.with_bounds(zones(t, 0.5)).agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.count("*").alias("n"))
 
 
 @query(f"SELECT round(100.0 * count(DISTINCT p.id) FILTER (WHERE a.id IS NOT NULL) / count(DISTINCT p.id), 2)::DOUBLE AS match_pct FROM {_PEOPLE} p LEFT JOIN (SELECT * FROM {_AREAS} WHERE id < 10) a ON p.x >= x0 AND p.x < x0 + 1 AND p.y >= y0 AND p.y < y0 + 1")

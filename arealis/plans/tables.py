@@ -528,9 +528,9 @@ def pooled_range(t: Tables) -> DataFrame:
     return v.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-@query("""SELECT n_regionkey, count(*) n FROM nation GROUP BY 1""")
+@query("""SELECT n_regionkey, count(*) n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def sql_surface(t: Tables) -> DataFrame:
-    return run_sql(t.spark, "SELECT n_regionkey, count(*) AS n FROM {nation} GROUP BY n_regionkey", nation=t.nation)
+    return run_sql(t.spark, "SELECT n_regionkey, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_regionkey", customer=t.customer, nation=t.nation)
 
 
 @query("""SELECT event_type AS k, CAST(year(ts) AS INTEGER) AS year, round(value, 6) AS v FROM events WHERE value IS NOT NULL""")

@@ -142,3 +142,40 @@ def test_moran_of_halves_is_clustered(spark):
     assert m.moran_i > 0.3 and m.verdict == "clustered" and m.gate and m.strength == "strong"
     p = stats.permutation_p(df, stats.weights(df, "rook"), "y", n=49).first().p_sim
     assert p == 1 / 50
+
+
+def test_predicates_of_polygons_and_right_join(spark):
+    left = spark.createDataFrame([(1, ring((0, 0), (2, 0), (2, 2), (0, 2))), (2, L_SHAPE)], f"id int, rings {RINGS}")
+    boxes = {"same": (0, 0, 2, 2), "beside": (2, 0, 3, 2), "corner": (2, 2, 3, 3), "part": (1.5, 0.5, 2.5, 0.9), "notch": (1, 1, 2, 2), "far": (8, 8, 9, 9)}
+    right = spark.createDataFrame([(n, ring((a, b), (c, b), (c, d), (a, d))) for n, (a, b, c, d) in boxes.items()], f"name string, rings2 {RINGS}")
+    got = {p: {(r.id, r.name) for r in spatial.spatial_join(left, right, "id", p).select("id", "name").collect()} for p in ("overlaps", "touches", "within")}
+    assert got["overlaps"] == {(1, "part"), (2, "part")}
+    assert got["touches"] == {(1, "beside"), (1, "corner"), (2, "beside"), (2, "notch")}
+    assert got["within"] == {(1, "same"), (2, "same")}
+    points = spark.createDataFrame([("p", 0.5, 0.5), ("p", 0.5, 0.5), ("q", 9.0, 9.0), (None, None, 1.0)], "n string, x double, y double")
+    rows = spatial.spatial_join(left.where("id = 1"), points, "id", "contains", "right").select("id", "n").collect()
+    assert [(r.id, r.n) for r in rows].count((1, "p")) == 2 and sum(r.id is None for r in rows) == 2 and len(rows) == 4
+
+
+def test_clip_by_polygons_with_a_hole(spark):
+    cells_ = spark.createDataFrame([(r, c, 1.0) for r in range(5) for c in range(5)], "row long, col long, v double")
+    hole = [ring((0.6, 0.6), (4.4, 0.6), (4.4, 4.4), (0.6, 4.4))[0], ring((1.4, 1.4), (3.6, 1.4), (3.6, 3.6), (1.4, 3.6))[0]]
+    masks = spark.createDataFrame([(hole,), (hole,), (None,)], f"rings {RINGS}")
+    centres = {(r.row, r.col) for r in raster.clip_by_polygons(cells_, masks).collect()}
+    touched = {(r.row, r.col) for r in raster.clip_by_polygons(cells_, masks, all_touched=True).collect()}
+    border = {(r, c) for r in range(5) for c in range(5) if r in (0, 4) or c in (0, 4)}
+    assert not centres & border and (2, 2) not in centres and centres == set()
+    assert touched == {(r, c) for r in range(5) for c in range(5)} - {(2, 2)}
+
+
+def test_moran_of_groups_equals_each_alone(spark):
+    grid = [(r * 5 + c, r, c) for r in range(5) for c in range(5)]
+    areas_ = spark.createDataFrame([(i, ring((c, r), (c + 1, r), (c + 1, r + 1), (c, r + 1))) for i, r, c in grid], f"id long, rings {RINGS}")
+    W = stats.weights(areas_, "queen")
+    rows = [("a", i, float(r * 3 + c)) for i, r, c in grid] + [("b", i, float((r * 7 + c * 5) % 4)) for i, r, c in grid] + [("few", i, float(i)) for i in range(4)] + [("few", 9, None)]
+    df = spark.createDataFrame(rows, "project string, id long, y double")
+    got = {r.project: r for r in stats.morans_by(df, W, "y", "project").collect()}
+    for p in ("a", "b"):
+        one = stats.morans_i(df.where(F.col("project") == p).drop("project"), stats.row_standardise(W), "y").first()
+        assert all(math.isclose(got[p][c], one[c], abs_tol=1e-9) for c in ("moran_i", "expected", "z", "p")) and got[p].verdict == one.verdict
+    assert got["few"].n == 4 and got["few"].moran_i is None

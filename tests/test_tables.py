@@ -124,3 +124,18 @@ def test_reference_rules(spark):
     assert rows(quality.quality_points(cells, ["a", "b"])) == [(30, 30, 12.5)] and rows(quality.quality_points(cells, ["b"])) == [(20, 30, 25.0)]
     tools = spark.createDataFrame([("gdal:slope", "Slope", "slope of a raster", "angle", "terrain use"), ("x", "Aspect", "direction", "slope too", None)], "id string, name string, brief string, full string, uses string")
     assert [(r.id, r.score) for r in catalog.search(tools, "slope, use", 5, "id", "id", "name", "brief", "full", "uses").collect()] == [("gdal:slope", 3 + 2 + 1.5 + 0.5), ("x", 1.0)]
+
+
+def test_natural_breaks_put_every_value_to_its_nearest_mean(spark):
+    values = [1.0, 1.0, 2.0, 2.5, 9.0, 10.0, 10.5, 11.0, 30.0, 31.0, 33.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert classify.natural_breaks(df, "v", 3) == [1.0, 2.5, 11.0, 33.0]
+    assert classify.natural_breaks(df.where("v < 0"), "v", 3) == []
+    assert classify.natural_breaks(spark.createDataFrame([(4.0,), (4.0,)], "v double"), "v", 3) == classify.breaks(spark.createDataFrame([(4.0,), (4.0,)], "v double"), "v", 3)
+
+
+def test_shares_densities_and_renumbering(spark):
+    df = spark.createDataFrame([(3, 5, None, 10, 2.0), (1, 1, 1, 0, 0.0), (7, 4, 2, 12, None)], "k int, a int, b int, total int, area double")
+    out = {r.k: r for r in rates.density(rates.share_of_parts(df, ["a", "b", "absent"], "total", "pct"), "total", "area", "d").collect()}
+    assert (out[3].pct, out[3].d) == (50.0, 5.0) and (out[1].pct, out[1].d) == (None, None) and (out[7].pct, out[7].d) == (50.0, None)
+    assert {r.k: r.zone_id for r in rank.renumber(df, "k").collect()} == {1: 1, 3: 2, 7: 3}
