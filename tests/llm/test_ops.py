@@ -1,6 +1,7 @@
 """Each text operator against a plain version, with nulls, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -494,3 +495,31 @@ def test_kneser_ney_against_plain_counts():
         assert mine
     assert m.features([]) == (0.0,) * 4 and abs(m.features(["unheard"])[0]) < 1e-12
     assert m.features(["meanestzz"])[0] > 0  # an unknown form of a beginning that is more toxic
+
+
+def test_licence_labels_and_scores_equal_every_start_tried(spark):
+    rng = random.Random(6)
+    loose = sorted({w for t, *_ in license_scan.TEMPLATES for w in t.split()})
+    rows = [(i, " ".join(rng.choice(loose) for _ in range(rng.randrange(0, 60)))) for i in range(40)]
+    for i, (t, *_) in enumerate(license_scan.TEMPLATES):  # whole, with a gap, with other words, cut at either end
+        w = t.split()
+        rows += [(100 + i, f"Intro. {t.upper()}; end"), (200 + i, " ".join(w[: len(w) // 2] + ["x"] + w[len(w) // 2 :])), (300 + i, " ".join(rng.choice([a, a, a, "other"]) for a in w)), (400 + i, " ".join(w[1:])), (500 + i, f"{' '.join(w[:-1])} {t} {t}")]
+    rows += [(None, None), (1, ""), (600, "filler " * 20_000 + license_scan.TEMPLATES[0][0])]
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    templates = [(p.split(), label, [p.split()]) for p, label in license_scan.BASE.items()] + [(t.split(), label, [k.split() for k in keys]) for t, label, keys in license_scan.TEMPLATES]
+    idf = {x: math.log((len(rows) + 1) / (1 + sum(x in w for w in words))) for t, *_ in templates for x in t}
+    want = []
+    for (i, _), w in zip(rows, words):
+        labels, best, at = set(), 0.0, dict(enumerate(w))
+        for t, label, keys in templates:
+            must = set(sorted(range(len(t)), key=lambda k: (-idf[t[k]], t[k], k))[:2])
+            for key in keys:
+                first = next(k for k in range(len(t)) if t[k : k + len(key)] == key)
+                must |= set(range(first, first + len(key)))
+            for s in range(-len(t), len(w)):
+                if all(at.get(s + k) == t[k] for k in must):
+                    labels.add(label)
+                    best = max(best, sum(idf[x] for k, x in enumerate(t) if at.get(s + k) == x) / (sum(idf[x] for x in t) or 1.0))
+        want.append((i, ",".join(sorted(labels)), round(min(best, 1.0), 9)))
+    got = [(r.doc_id, r.labels, round(r.score, 9)) for r in license_scan.scan_licences(frame(spark, rows)).collect()]
+    assert Counter(got) == Counter(want) and len({label for _, labels, _ in want for label in labels.split(",")}) > 10
