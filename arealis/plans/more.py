@@ -37,10 +37,12 @@ def population_near(t: Tables) -> DataFrame:
 
 @query()
 def persistent_hot_spots(t: Tables) -> DataFrame:
-    y = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.avg("c_acctbal").alias("y"))
-    w = stats.weights(areas(t), "queen")
-    n = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").cast("double").alias("y"))
-    return overlay.persistent(stats.hotspots(y, w, "y"), stats.hotspots(n, w, "y"), "id")
+    """Cells that are hot by price as well as by price and size together."""
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    c = cells(t).select((F.col("row") * 50 + F.col("col")).alias("id"), "v", "b2", g.box(x, y, x + 1, y + 1).alias("rings"))
+    w = stats.weights(c, "queen")
+    first, second = c.select("id", F.col("v").alias("y")), c.select("id", (F.col("v") + 4 * F.col("b2")).alias("y"))
+    return overlay.persistent(stats.hotspots(first, w, "y"), stats.hotspots(second, w, "y"), "id")
 
 
 @query()
