@@ -83,23 +83,52 @@ def segment_distance(x: Column, y: Column, a: Column, b: Column) -> Column:
     return F.hypot(x - (a.x + t * dx), y - (a.y + t * dy))
 
 
+def half_plane(ring: Column, a: Column, b: Column) -> Column:
+    """The part of ``ring`` on the left of the line from ``a`` to ``b``."""
+    side = lambda p: (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)
+    marked = F.transform(ring, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), side(p).alias("s")))
+
+    def part(e: Column) -> Column:
+        t = e.a.s / (e.a.s - e.b.s)
+        cross = point(e.a.x + t * (e.b.x - e.a.x), e.a.y + t * (e.b.y - e.a.y))
+        here = F.array(point(e.a.x, e.a.y))
+        none = F.slice(here, 1, 0)
+        return F.when((e.a.s >= 0) & (e.b.s >= 0), here).when(e.a.s >= 0, F.concat(here, F.array(cross))).when(e.b.s >= 0, F.array(cross)).otherwise(none)
+
+    return F.flatten(F.transform(edges(marked), part))
+
+
 def clip(ring: Column, convex: Column) -> Column:
     """The part of ``ring`` inside a convex counter-clockwise ring (Sutherland and Hodgman 1974)."""
+    return F.aggregate(edges(convex), ring, lambda subject, c: half_plane(subject, c.a, c.b))
+
+
+def convex_minus(ring: Column, convex: Column, least: float = 1e-12) -> Column:
+    """Disjoint convex rings that make up a convex ring less another one; parts below ``least`` are left out.
+
+    Each edge cuts off what lies outside it; what is left goes to the next edge. Both
+    rings are counter-clockwise and have no corner twice.
+    """
+    none = F.slice(F.array(ring), 1, 0)
+
+    def cut(state: Column, e: Column) -> Column:
+        outside = F.array_distinct(half_plane(state.rest, e.b, e.a))
+        kept = F.when((F.size(outside) >= 3) & (ring_area(outside) > least), F.concat(state.out, F.array(outside))).otherwise(state.out)
+        return F.struct(F.array_distinct(half_plane(state.rest, e.a, e.b)).alias("rest"), kept.alias("out"))
+
+    cutting = F.aggregate(edges(convex), F.struct(ring.alias("rest"), none.alias("out")), cut)
+    apart = clip_area(F.array(ring), convex) <= least
+    return F.when(apart, F.array(ring)).otherwise(cutting.out)
 
-    def cut(subject: Column, c: Column) -> Column:
-        side = lambda p: (c.b.x - c.a.x) * (p.y - c.a.y) - (c.b.y - c.a.y) * (p.x - c.a.x)
-        marked = F.transform(subject, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), side(p).alias("s")))
 
-        def part(e: Column) -> Column:
-            t = e.a.s / (e.a.s - e.b.s)
-            cross = point(e.a.x + t * (e.b.x - e.a.x), e.a.y + t * (e.b.y - e.a.y))
-            here = F.array(point(e.a.x, e.a.y))
-            none = F.slice(here, 1, 0)
-            return F.when((e.a.s >= 0) & (e.b.s >= 0), here).when(e.a.s >= 0, F.concat(here, F.array(cross))).when(e.b.s >= 0, F.array(cross)).otherwise(none)
+def minus_all(pieces: Column, others: Column) -> Column:
+    """Disjoint convex rings less an array of convex rings."""
+    return F.aggregate(others, pieces, lambda left, o: F.flatten(F.transform(left, lambda p: convex_minus(p, o))))
 
-        return F.flatten(F.transform(edges(marked), part))
 
-    return F.aggregate(edges(convex), ring, cut)
+def in_convex(convex: Column, x: Column, y: Column, slack: float = 1e-9) -> Column:
+    """Whether a point lies in a convex counter-clockwise ring or on its edge, within ``slack``."""
+    return F.forall(edges(convex), lambda e: (e.b.x - e.a.x) * (y - e.a.y) - (e.b.y - e.a.y) * (x - e.a.x) >= -slack * F.hypot(e.b.x - e.a.x, e.b.y - e.a.y))
 
 
 def clip_area(rings: Column, convex: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
+from arealis.operators.shapes import relations
+from arealis.sources.shared import cut
 
 
 def with_bounds(df: DataFrame, rings: str = "rings") -> DataFrame:
@@ -55,38 +57,35 @@ def points_in(polys: DataFrame, points: DataFrame, size: float) -> DataFrame:
     return j.where(g.contains(F.col("rings"), F.col("x"), F.col("y"))).drop("_c", "_cx", "_cy", "xmin", "ymin", "xmax", "ymax")
 
 
-def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", how: str = "inner", size: float = 1.0, fields: Sequence[str] = ()) -> DataFrame:
-    """Join polygons with points (``x, y``) or with convex polygons (``rings2``).
+def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", how: str = "inner", size: float = 1.0, fields: Sequence[str] = (), right_key: str | None = None) -> DataFrame:
+    """Join polygons (``rings``) or lines (``line``) with points (``x, y``), polygons (``rings2``) or lines (``line2``).
 
-    Points on the right are taken where they are inside. Of polygons, ``intersects``
-    means a common area; ``contains`` and ``within`` that the one covers the other;
-    ``overlaps`` a common area that is all of neither; ``touches`` a common point but no
-    common area (``crosses`` never holds between two polygons). ``how`` is inner, left
-    or right; ``fields`` chooses right columns. Left polygons need not be convex.
+    Points on the right are taken where they are inside polygons. Otherwise polygons may
+    have any shape, with holes and several parts, and ``predicate`` is one of
+    ``intersects`` (any common point), ``contains``, ``within``, ``overlaps``,
+    ``touches`` and ``crosses`` as in ``shapes.relations``. ``how`` is inner, left or
+    right; ``fields`` chooses right columns. ``right_key`` names a unique right column;
+    without it right rows are written once with numbers, where pairs need them. Null and
+    empty shapes match nothing; repeated right rows each match.
     """
-    if "rings2" in right.columns:
-        if predicate not in ("intersects", "contains", "within", "overlaps", "touches"):
-            raise ValueError(f"polygons don't offer {predicate}")
-        r = right.withColumn("_b", g.bounds(F.col("rings2"))).select("*", *(F.col(f"_b.{c}").alias(f"{c}2") for c in ("xmin", "ymin", "xmax", "ymax"))).drop("_b")
-        both = g.clip_area(F.col("rings"), F.get("rings2", F.lit(0)))
-        covers, covered = both >= g.area(F.col("rings2")) * (1 - 1e-9), both >= g.area(F.col("rings")) * (1 - 1e-9)
-        hit = {
-            "intersects": both > 0,
-            "contains": covers,
-            "within": covered,
-            "overlaps": (both > g.area(F.col("rings")) * 1e-9) & ~covers & ~covered,
-            "touches": (both <= g.area(F.col("rings")) * 1e-9) & g.meet(F.col("rings"), F.col("rings2")),
-        }[predicate]
-        found = box_pairs(with_bounds(left), r, size).where(hit)
-        keep = [c for c in right.columns if c != "rings2"]
+    shape = next((c for c in ("rings2", "line2") if c in right.columns), None)
+    if shape and predicate not in ("intersects", "contains", "within", "overlaps", "touches", "crosses"):
+        raise ValueError(f"shapes don't offer {predicate}")
+    keep = [c for c in right.columns if c != shape]
+    if shape or how == "right":
+        r = right.withColumn("_rid", F.col(right_key)) if right_key else cut(right.withColumn("_rid", F.monotonically_increasing_id()), "right")
+        if shape:
+            own = "line" if "line" in left.columns else "rings"
+            pairs = relations(left.select(F.col(key).alias("lid"), own), r.select(F.col("_rid").alias("rid"), F.col(shape).alias(shape[:-1])), size)
+            pairs = pairs.where(predicate).select(F.col("lid").alias(key), F.col("rid").alias("_rid"))
+        else:
+            pairs = points_in(left, r.select("_rid", "x", "y"), size).select(key, "_rid")
+        if how == "right":
+            out = r.join(pairs.join(left, key), "_rid", "left")
+            return out.select(*left.columns, *(fields or keep))
+        found = pairs.join(r, "_rid").select(key, *(fields or keep))
     else:
-        found, keep = points_in(left, right, size), right.columns
-    if how == "right":
-        row = F.struct(*(F.col(c) for c in keep))
-        pairs = found.select(key, row.alias("_p")).distinct().join(left, key)  # repeated right rows are one here
-        out = right.select(row.alias("_r")).join(pairs, F.col("_r").eqNullSafe(F.col("_p")), "left")
-        return out.select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in (fields or keep)))
-    found = found.select(key, *(fields or keep))
+        found = points_in(left, right, size).select(key, *(fields or keep))
     return left.join(found, key, "left" if how == "left" else "inner")
 
 
