@@ -46,14 +46,13 @@ def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
     return np.unique(_mix(run))
 
 
-def signature(s: np.ndarray, hot: np.ndarray, few: int | None = 24) -> np.ndarray:
+def signature(s: np.ndarray, hot: np.ndarray, few: int | None = None) -> np.ndarray:
     """Shingles of which any two linked sets share one.
 
     In one fixed order of all shingles, frequent ones last and hash values otherwise, a
-    link leaves the first quarter of either set a common shingle (prefix filter). Larger
-    sets with few frequent shingles need no more than their first ``few``: hash order is
-    random, so a link would be missed with a chance below 1e-11; with None they keep the
-    whole quarter.
+    link leaves the first quarter of either set a common shingle (prefix filter), so the
+    whole quarter misses no link. ``few`` cuts it in sets with few frequent shingles: 24
+    of them would miss a link with a chance below 1e-11.
     """
     n = len(s)
     prefix = n - -(-NUM * n // DEN) + 1
@@ -261,7 +260,7 @@ def _connected_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found
 
 
-def jaccard_components(docs: DataFrame, few: int | None = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, few: int | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: what links of similar shingle sets connect.
 
     Documents with equal sets fall into one class first. Classes that share a signature
@@ -269,8 +268,8 @@ def jaccard_components(docs: DataFrame, few: int | None = 24) -> DataFrame:
     shingle. In each group a signature tree finds the pairs that can link by size and
     bitmap, and whole texts confirm them, only as many as it takes to connect what links
     connect. Groups too large for one tree are split by size and dealt out as blocks.
-    ``few`` bounds the signature of sets with few frequent shingles (see ``signature``);
-    with None the prefix filter is complete. Shingles are compared as 64-bit hashes.
+    The prefix filter is complete unless ``few`` cuts signatures (see ``signature``).
+    Shingles are compared as 64-bit hashes.
 
     Nulls and edges: null and empty texts have no shingles and are linked with nothing;
     a row whose ``doc_id`` is null gets the component of its copies, or null, and makes

@@ -24,6 +24,13 @@ BLOCK = 16
 _U = np.uint64
 
 
+def anchor_width(length: int) -> int:
+    """Bytes of an anchor: the largest power of two within two fifths of ``length``, ``ANCHOR`` at most."""
+    if length < 32:
+        raise ValueError("repeats shorter than 32 bytes are not offered")
+    return min(ANCHOR, 1 << (2 * length // 5).bit_length() - 1)
+
+
 def _rolling(b: np.ndarray, width: int = ANCHOR) -> np.ndarray:
     """A 64-bit hash of every ``width`` bytes (a power of two), by doubling."""
     h = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)[b]
@@ -36,20 +43,35 @@ def _rolling(b: np.ndarray, width: int = ANCHOR) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], length: int, part: int = 1 << 26) -> tuple[np.ndarray, ...]:
     """For every ``length`` bytes of a text the place with the least hash; runs of starts with one place.
 
     Returns text number, first start, number of starts and hash. The place depends on
-    the bytes of the window alone, so equal windows have equal hashes.
+    the bytes of the window alone, so equal windows have equal hashes. Texts of more than
+    ``part`` bytes go through in parts that overlap by a window; a run may end between two.
     """
+    parts = [(i, lo, t[lo : lo + part + length - 1]) for i, t in enumerate(texts) for lo in range(0, max(len(t) - length + 1, 1), part)]
+    out, lo = [], 0
+    while lo < len(parts):
+        hi, size = lo, 0
+        while hi < len(parts) and (hi == lo or size + len(parts[hi][2]) <= 2 * part):
+            size += len(parts[hi][2])
+            hi += 1
+        text, first, starts, h = _anchors([p[2] for p in parts[lo:hi]], length)
+        of = np.array([p[:2] for p in parts[lo:hi]], dtype=np.int64)[text]
+        out.append((of[:, 0], first + of[:, 1], starts, h))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else _anchors([], length)
+
+
+def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts])
     b = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    width = anchor_width(length)
     if len(b) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    h, w = _rolling(b), length - ANCHOR + 1
+    h, w = _rolling(b, width), length - width + 1
     low = _U((1 << 28) - 1)
-    if len(h) > int(low):
-        raise ValueError("a batch of texts is too large")
     m, s = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * s <= w:
         m, s = np.minimum(m[:-s], m[s:]), 2 * s
@@ -66,8 +88,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[cut], cut - (ends - sizes)[text[cut]], runs, h[place[cut]]
 
 
-def suffix_array(b: np.ndarray) -> np.ndarray:
-    """Suffixes in order, at least by their first 512 bytes (Larsson and Sadakane 1999).
+def suffix_array(b: np.ndarray, most: int = 512) -> np.ndarray:
+    """Suffixes in order, at least by their first ``most`` bytes (Larsson and Sadakane 1999).
 
     The first order is by eight bytes. Each round doubles the depth and sorts again only
     the groups that still have several suffixes; a suffix's rank is its group's place.
@@ -77,7 +99,7 @@ def suffix_array(b: np.ndarray) -> np.ndarray:
     order = np.argsort(w, kind="stable")
     new = np.r_[True, w[order][1:] != w[order][:-1]]
     depth = 8
-    while depth < 512:
+    while depth < most:
         first = np.flatnonzero(new)
         group = np.repeat(first, np.diff(np.r_[first, n]))
         rank = np.zeros(n + depth, dtype=np.int64)
@@ -96,9 +118,9 @@ def suffix_array(b: np.ndarray) -> np.ndarray:
     return order
 
 
-def words(b: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one big-endian number; zeros follow the end."""
-    x = np.concatenate([b, np.zeros(1100, dtype=np.uint8)]).astype(np.uint64)
+def words(b: np.ndarray, beyond: int = 1024) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number; zeros follow the end, ``beyond`` and some more."""
+    x = np.concatenate([b, np.zeros(beyond + 76, dtype=np.uint8)]).astype(np.uint64)
     for step in (1, 2, 4):
         x = (x[:-step] << _U(8 * step)) | x[step:]
     return x
@@ -143,17 +165,18 @@ class Shard:
         joined = b"".join(p + b"\xff" + i.to_bytes(4, "big") for i, (p, _) in enumerate(pieces))
         b = np.frombuffer(joined, dtype=np.uint8)
         self.offset = np.cumsum([0, *(len(p) + 5 for p, _ in pieces)])[:-1]
-        self.length, self.count, self.w = length, [m for _, m in pieces], words(b)
+        most = max(1024, 2 * length + 8)  # a run of starts is shorter than ``length``, so what is left of ``most`` at its end tells
+        self.length, self.count, self.w = length, [m for _, m in pieces], words(b, most)
         is_start = np.zeros(len(b), dtype=bool)
         for o, m in zip(self.offset, self.count):
             is_start[o : o + m] = True
-        order = suffix_array(b)
+        order = suffix_array(b, max(512, length))
         self.order = order[is_start[order]]
         before = np.full(len(b), -1, dtype=np.int64)
         before[self.order[1:]] = self.order[:-1]
         starts = np.flatnonzero(is_start)
         lcp = np.zeros(len(b), dtype=np.int64)
-        lcp[starts] = kasai(self.w, before, starts, 1024)
+        lcp[starts] = kasai(self.w, before, starts, most)
         self.linked = linked = lcp[self.order] >= length  # with the start before it in order
         self.repeats = np.zeros(len(b), dtype=bool)
         self.repeats[self.order[linked]] = True
@@ -263,8 +286,9 @@ def _piece_rows(length: int, content: bool):
 
 def anchor_place(piece: bytes, starts: int, length: int) -> int:
     """Where in a piece the anchor stands that all its ``starts`` windows picked."""
-    h = _rolling(np.frombuffer(piece, dtype=np.uint8)) & ~_U((1 << 28) - 1)
-    return starts - 1 + int(h[starts - 1 : length - ANCHOR + 1].argmin())
+    width = anchor_width(length)
+    h = _rolling(np.frombuffer(piece, dtype=np.uint8), width) & ~_U((1 << 28) - 1)
+    return starts - 1 + int(h[starts - 1 : length - width + 1].argmin())
 
 
 def _context_rows(length: int):
@@ -369,6 +393,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
        shards meet by their digests, if the bytes around the anchor that they share with
        their neighbours stand in another piece at all.
     """
+    anchor_width(length)  # raises where the length is too small
     keyed = _keyed(docs)
     found = keyed.select("d1", "d2", "text").where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "h long, d1 long, d2 long, first int, starts int")
     found = written(found, "anchors")
@@ -432,7 +457,11 @@ def repeats_removed(docs: DataFrame, length: int = 400, keep_bytes: bool = True)
 
     A byte goes if some ``length`` bytes that cover it start in another place as well, in
     the same row or another. ``kept`` has the remaining bytes; it is null where the row
-    keeps all of them.
+    keeps all of them. ``length`` is 32 at least; suffix arrays are sorted as deep as it is.
+
+    Equal texts, equal pieces under an anchor, and windows that several shards of one hot
+    anchor have are told by 128-bit digests; all other repeats by suffix arrays, merged by
+    binary search where an anchor's pieces fill several of them in one task.
 
     Nulls and edges: a null text is empty; texts shorter than ``length`` lose nothing;
     rows with equal texts are copies of each other even if they share a ``doc_id``, which

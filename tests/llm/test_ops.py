@@ -238,6 +238,40 @@ def test_repeats_removed(spark):
     assert suffix_dedup.repeats_removed(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("length", [32, 40, 64, 128, 250, 700, 1500])
+def test_repeats_of_any_length(spark, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "SALT", 4000)
+    rng = random.Random(length)
+    plain = lambda n: prose(rng, n).replace("É", "e")
+    shared = plain(3 * length // 5)
+    rows = [(i, plain(40) + shared[rng.randrange(length) :][: rng.randrange(length // 2, 3 * length)] + plain(60)) for i in range(24)]
+    rows += [(30, "ab" * length), (31, shared), (32, shared[: length - 1]), (33, None)]
+    seen = Counter(t[s : s + length].encode() for _, t in rows if t for s in range(len(t) - length + 1))
+    want = {}
+    for i, t in rows:
+        t = (t or "").encode()
+        gone = bytearray(len(t))
+        for s in range(len(t) - length + 1):
+            if seen[t[s : s + length]] > 1:
+                gone[s : s + length] = b"\x01" * length
+        want[i] = (sum(gone), hashlib.sha256(bytes(c for c, d in zip(t, gone) if not d)).hexdigest())
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.repeats_removed(frame(spark, rows), length).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 5 * length
+
+
+def test_repeat_lengths_that_are_not_offered(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.repeats_removed(frame(spark, []), 31)
+
+
+def test_anchors_of_texts_in_parts():
+    rng = random.Random(2)
+    texts = [prose(rng, n).encode() for n in (400, 0, 90, 700)]
+    places = lambda found: sorted((t, f + k, h) for t, f, n, h in zip(*(x.tolist() for x in found)) for k in range(n))
+    whole = places(suffix_dedup.anchors(texts, 200))
+    assert whole == places(suffix_dedup.anchors(texts, 200, part=333)) and len(whole) == sum(max(len(t) - 199, 0) for t in texts)
+
+
 def test_shards_merge_by_binary_search():
     rng = random.Random(3)
     base = [bytes(rng.choice(b"abcd ") for _ in range(900)) for _ in range(4)]
