@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
+from arealis.operators.flow import catchment_of, fill_depressions, strahler  # noqa: F401  offered here as well
 from arealis.operators.spatial import box_pairs, nearest_join, points_in, with_bounds
 from arealis.sources.shared import cut
 
@@ -172,23 +173,6 @@ def smooth(dem: DataFrame, sigma: float = 1.0) -> DataFrame:
     return dem
 
 
-def fill_depressions(dem: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Pits raised to their spill level (Planchon and Darboux): edges stay, rounds until nothing falls."""
-    e = dem.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    edge = (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1"))
-    state = cut(dem.join(F.broadcast(e)).select("row", "col", F.col("v").alias("z"), F.when(edge, F.col("v")).otherwise(F.lit(float("inf"))).alias("v")))
-    offsets = [(a, b) for a, b, _ in D8]
-    for _ in range(max_rounds):
-        low = _around(state.select("row", "col", "v"), offsets).groupBy("row", "col").agg(F.min("v").alias("low"))
-        new = state.join(low, ["row", "col"], "left").select("row", "col", "z", F.least("v", F.greatest("z", F.coalesce("low", F.col("v")))).alias("n"), "v")
-        new = cut(new)
-        changed = new.where("n < v").limit(1).count()
-        state = new.select("row", "col", "z", F.col("n").alias("v"))
-        if not changed:
-            return state.select("row", "col", "v")
-    raise RuntimeError("depressions are not filled")
-
-
 def flow_direction(dem: DataFrame, cell: float = 1.0) -> DataFrame:
     """The steepest way down among eight neighbours as a direction code, 0 where none leads down."""
     n = _around(dem, [(a, b) for a, b, _ in D8])
@@ -225,16 +209,8 @@ def flow_accumulation(fdir: DataFrame) -> DataFrame:
 
 
 def catchment(fdir: DataFrame, row: int, col: int) -> DataFrame:
-    """All cells that drain to one cell, by reverse rounds over the frontier."""
-    edges = cut(flow_edges(fdir))
-    front = fdir.where((F.col("row") == row) & (F.col("col") == col)).select("row", "col")
-    seen = front
-    while True:
-        up = edges.join(front.select(F.col("row").alias("to_row"), F.col("col").alias("to_col")), ["to_row", "to_col"]).select("row", "col")
-        front = cut(up.join(seen, ["row", "col"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
+    """All cells that drain to one cell, itself included."""
+    return catchment_of(flow_edges(fdir), fdir, row, col)
 
 
 def streams(acc: DataFrame, fdir: DataFrame, fraction: float) -> DataFrame:
@@ -245,22 +221,6 @@ def streams(acc: DataFrame, fdir: DataFrame, fraction: float) -> DataFrame:
     return e.join(cells.select(F.col("row").alias("to_row"), F.col("col").alias("to_col")), ["to_row", "to_col"], "left_semi").select("row", "col", "to_row", "to_col", "acc")
 
 
-def strahler(edges: DataFrame) -> DataFrame:
-    """Strahler order of each node of a tree of ``(src, dst)``: sources 1, one more where two equal maxima meet."""
-    edges = cut(edges.select("src", "dst").distinct())
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    need = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("inflows"))
-    known = cut(nodes.join(need, "node", "left_anti").withColumn("ord", F.lit(1)))
-    while True:
-        into = known.join(edges, known.node == edges.src).select(F.col("dst").alias("node"), "ord")
-        ready = into.groupBy("node").agg(F.count("*").alias("c"), F.max("ord").alias("m"), F.collect_list("ord").alias("o")).join(need, "node").where("c = inflows")
-        fresh = ready.join(known, "node", "left_anti").select("node", (F.col("m") + F.when(F.size(F.filter("o", lambda x: x == F.col("m"))) >= 2, 1).otherwise(0)).alias("ord"))
-        fresh = cut(fresh)
-        if fresh.isEmpty():
-            return known
-        known = cut(known.unionByName(fresh))
-
-
 def stream_stats(edges: DataFrame, orders: DataFrame, area: float) -> DataFrame:
     """Length by order, and drainage density: all length over ``area``."""
     e = edges.join(orders, edges.src == orders.node)
