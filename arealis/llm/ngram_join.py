@@ -150,7 +150,7 @@ def _tree_pairs(margin: float | None, once: bool):
 
         key, sides, known = None, ([], []), {}
         for b in batches:
-            groups = map(frozenset, b.column("signature").to_pylist()) if once else repeat(None)
+            groups = map(frozenset, b.column("groups").to_pylist()) if once else repeat(None)
             for *this, node, side, component, n, bits, tokens in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "side", "component", "n", "bits")), groups):
                 if this != key:
                     if key and (len(sides[0]) > 1 or sides[1]):
@@ -167,9 +167,11 @@ def _tree_pairs(margin: float | None, once: bool):
 def _possible(members: DataFrame, classes: DataFrame, found: DataFrame, full: bool, trust: bool) -> DataFrame:
     """``(u, v, sure)`` with ``u > v``: what the trees of all groups leave possible.
 
-    In the ``full`` pass the signatures go along, and a pair comes from one group only.
+    In the ``full`` pass each set's groups go along, and a pair comes from one group only.
     """
-    sketches = classes.select("node", F.col("n_shingles").alias("n"), "bits", *(["signature"] if full else [])).where("node is not null")
+    sketches = classes.select("node", F.col("n_shingles").alias("n"), "bits").where("node is not null")
+    if full:
+        sketches = sketches.join(members.groupBy("node").agg(F.collect_set("t").alias("groups")), "node")
     placed = _with_components(_places(members, full).join(sketches, "node"), found)
     pairs = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_tree_pairs(MARGIN if trust else None, full), "u long, v long, sure boolean")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "sure").where("u != v")
