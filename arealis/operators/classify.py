@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,25 +113,73 @@ def dots(df: DataFrame, col: str, unit: float, key: str, seed: int = 0) -> DataF
     return rows.withColumns({"x": F.col("xmin") + (F.col("xmax") - F.col("xmin")) * u(1), "y": F.col("ymin") + (F.col("ymax") - F.col("ymin")) * u(2)})
 
 
-def natural_breaks(df: DataFrame, col: str, k: int, rounds: int = 100) -> list[float]:
-    """Edges of ``k`` classes whose values lie close to their class means (Jenks by Lloyd's rounds).
+def fisher_classes(n: np.ndarray, total: np.ndarray, squares: np.ndarray, k: int) -> list[int]:
+    """The last place of each of ``k`` classes of sorted groups with the least sum of squares within (Fisher 1958).
 
-    The rounds start from the quantile classes. Each counts and averages the classes of the
-    counted values, so only ``k`` rows reach the driver, and puts every value to the
-    nearest mean, until nothing moves. Fewer edges if there are fewer values; nulls are
-    left out, no values give no edges.
+    Groups have ``n`` values, their sum and their sum of squares. The best cut before a
+    place never moves left as places go right, so each further class is found by halving
+    (divide and conquer) in ``m log m`` steps.
     """
-    counts = cut(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
-    edges = breaks(df, col, k, "quantile")
-    if len(edges) < 3:
-        return edges
-    uppers, before = edges[1:-1], None
-    for _ in range(rounds):
-        place = F.size(F.filter(F.array(*map(F.lit, uppers)), lambda b: F.col("v") > b)) if uppers else F.lit(0)
-        found = counts.groupBy(place.alias("c")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.max("v").alias("hi")).collect()
-        tops = sorted(r.hi for r in found)
-        if tops == before:
-            break
-        means, before = sorted(r["mean"] for r in found), tops
-        uppers = [(a + b) / 2 for a, b in zip(means, means[1:])]
-    return _distinct([edges[0], *tops])
+    m = len(n)
+    k = min(k, m)
+    cn, cs, cq = (np.r_[0.0, np.cumsum(x)] for x in (n, total, squares))
+    cost = lambda i, j: np.maximum(cq[j] - cq[i] - (cs[j] - cs[i]) ** 2 / (cn[j] - cn[i]), 0.0)  # noqa: E731  of groups i to j - 1
+    best, cuts = cost(np.zeros(m, int), np.arange(1, m + 1)), []
+    for c in range(1, k):
+        now, cut_at = np.full(m, np.inf), np.zeros(m, dtype=int)
+        todo = [(c, m - 1, c, m - 1)]
+        while todo:
+            lo, hi, left, right = todo.pop()
+            if lo > hi:
+                continue
+            mid = (lo + hi) // 2
+            i = np.arange(left, min(mid, right) + 1)  # the last class starts here
+            v = best[i - 1] + cost(i, mid + 1)
+            at = int(v.argmin())
+            now[mid], cut_at[mid] = v[at], i[at]
+            todo += [(lo, mid - 1, left, int(i[at])), (mid + 1, hi, int(i[at]), right)]
+        best = now
+        cuts.append(cut_at)
+    ends = [m - 1]
+    for cut_at in cuts[::-1]:
+        ends.append(int(cut_at[ends[-1]]) - 1)
+    return ends[::-1]
+
+
+def natural_breaks(df: DataFrame, col: str, k: int, most: int = 20_000) -> list[float]:
+    """Edges of ``k`` classes with the least variance within (Jenks), by Fisher's exact programme.
+
+    Equal values are counted first. Up to ``most`` different values go to the driver
+    with their counts, and the classes are the best there are. More are gathered in runs
+    of neighbours, ``most`` at most, by their number, sum and squares; runs at which a
+    class ends are then split into runs of their own until classes end between single
+    values, so only runs away from all ends stay whole. Fewer edges if there are fewer
+    values; nulls and NaN are left out, no values give no edges.
+    """
+    v = F.col(col).cast("double")
+    counts = cut(df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count("*").alias("n")))
+    s = counts.agg(F.count("*").alias("different"), F.min("v").alias("lo"), F.sum(F.col("v") * F.col("n")).alias("sum"), F.sum("n").alias("n")).first()
+    if not s.different:
+        return []
+    x = F.col("v") - s["sum"] / s.n  # about the mean, so that squares keep their digits
+    sums = [F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("s"), F.sum(x * x * F.col("n")).alias("q"), F.count("*").alias("d")]
+    if s.different <= most:
+        runs = counts.groupBy("v").agg(*sums).orderBy("lo").collect()
+    else:
+        ranges = max(1, most // 256)
+        parts = counts.repartitionByRange(ranges, "v").withColumn("p", F.spark_partition_id())
+        parts = parts.withColumn("t", F.ntile(max(1, most // ranges)).over(Window.partitionBy("p").orderBy("v")))
+        runs = sorted(parts.groupBy("p", "t").agg(*sums).drop("p", "t").collect(), key=lambda r: r.lo)
+    while True:
+        ends = fisher_classes(*(np.array([r[c] for r in runs], dtype=float) for c in ("n", "s", "q")), k)
+        coarse = [runs[i] for i in sorted({j for e in ends[:-1] for j in (e, e + 1)}) if runs[i].d > 1]
+        if not coarse:
+            return _distinct([s.lo, *(runs[e].hi for e in ends)])
+        which = F.lit(None).cast("int")
+        for i, r in enumerate(coarse):
+            which = F.when(F.col("v").between(r.lo, r.hi), i).otherwise(which)
+        inside = counts.withColumn("p", which).where("p is not null")
+        tiles = F.ntile(max(2, most // (2 * len(coarse)))).over(Window.partitionBy("p").orderBy("v"))
+        fine = inside.withColumn("t", tiles).groupBy("p", "t").agg(*sums).drop("p", "t").collect()
+        gone = set(map(id, coarse))
+        runs = sorted([r for r in runs if id(r) not in gone] + fine, key=lambda r: r.lo)

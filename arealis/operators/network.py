@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arealis.functions import geometry as g
+from arealis.functions.columns import utm
+from arealis.operators.hulls import convex_hull
+from arealis.operators.shapes import dissolved_area
 from arealis.operators.spatial import nearest_join
 from arealis.sources.shared import cut
 
@@ -43,6 +47,33 @@ def isochrones(edges: DataFrame, sources: DataFrame, minutes: list[float]) -> Da
     return r.withColumn("minutes", limits).groupBy("source", "minutes").agg(F.count("*").alias("nodes"))
 
 
+def isochrone_areas(edges: DataFrame, nodes: DataFrame, sources: DataFrame, minutes: list[float], degrees: bool = False) -> DataFrame:
+    """``(source, minutes, nodes, rings, area_km2)``: hulls of the nodes reached, where there are three or more.
+
+    ``nodes(node, x, y)`` are in metres, or in degrees, which are then projected to the
+    UTM zone of their middle. Nodes without a place count as reached but shape no hull;
+    hulls without an area are left out.
+    """
+    if degrees:
+        mid = nodes.agg(F.avg("x").alias("x")).first().x or 0.0
+        x, y = utm(F.col("x"), F.col("y"), F.lit(int((mid + 180) // 6) + 1))
+        nodes = nodes.select("node", x.alias("x"), y.alias("y"))
+    r = cut(reach(edges, sources, max(minutes)))
+    limits = F.explode(F.filter(F.array(*map(F.lit, map(float, minutes))), lambda m: m >= F.col("cost")))
+    key = F.to_json(F.struct("source", "minutes"))
+    each = cut(r.withColumn("minutes", limits).withColumn("_k", key).select("_k", "source", "minutes", "node"))
+    counts = each.groupBy("_k", "source", "minutes").agg(F.count("*").alias("nodes"))
+    hulls = convex_hull(each.join(nodes.select("node", "x", "y"), "node"), "_k")
+    out = counts.join(hulls, "_k").withColumn("area_km2", g.area(F.col("rings")) / 1e6)
+    return out.where("area_km2 > 0").drop("_k")
+
+
+def dissolved_isochrones(isochrones: DataFrame, size: float) -> DataFrame:
+    """``(minutes, facilities, area_km2)``: the union of all hulls of a threshold, in cells of ``size`` metres."""
+    n = isochrones.groupBy("minutes").agg(F.count_distinct("source").alias("facilities"))
+    return n.join(dissolved_area(isochrones, ["minutes"], size), "minutes").select("minutes", "facilities", (F.col("area") / 1e6).alias("area_km2"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the smallest node that is connected, by alternating star rounds."""
     e = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct())
