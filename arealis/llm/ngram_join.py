@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,26 +137,25 @@ def _places(members: DataFrame, full: bool) -> DataFrame:
 _GROUP = ["t", "size", "i", "j"]
 
 
-def _tree_pairs(margin: float | None, once: bool):
+def _tree_pairs(margin: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Possible links of each group of a partition sorted by group; one group is held at a time."""
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pairs = possible_links(sides[0], sides[1] if key[2] != key[3] else None, known, margin, key[0] if once else None)
+            pairs = possible_links(sides[0], sides[1] if key[2] != key[3] else None, known, margin)
             for lo in range(0, len(pairs), 50_000):
                 u, v, sure = zip(*pairs[lo : lo + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure)], names=["u", "v", "sure"])
 
         key, sides, known = None, ([], []), {}
         for b in batches:
-            groups = map(frozenset, b.column("groups").to_pylist()) if once else repeat(None)
-            for *this, node, side, component, n, bits, tokens in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "side", "component", "n", "bits")), groups):
+            for *this, node, side, component, n, bits in zip(*(b.column(c).to_pylist() for c in (*_GROUP, "node", "side", "component", "n", "bits"))):
                 if this != key:
                     if key and (len(sides[0]) > 1 or sides[1]):
                         yield from flush()
                     key, sides, known = this, ([], []), {}
                 known[node] = component
-                sides[side].append(Sketch(node, n, 8 * len(bits), int.from_bytes(bits, "little"), tokens))
+                sides[side].append(Sketch(node, n, 8 * len(bits), int.from_bytes(bits, "little")))
         if key and (len(sides[0]) > 1 or sides[1]):
             yield from flush()
 
@@ -167,13 +165,11 @@ def _tree_pairs(margin: float | None, once: bool):
 def _possible(members: DataFrame, classes: DataFrame, found: DataFrame, full: bool, trust: bool) -> DataFrame:
     """``(u, v, sure)`` with ``u > v``: what the trees of all groups leave possible.
 
-    In the ``full`` pass each set's groups go along, and a pair comes from one group only.
+    A pair may come from each group that has both its ends; the pairs are then made one.
     """
     sketches = classes.select("node", F.col("n_shingles").alias("n"), "bits").where("node is not null")
-    if full:
-        sketches = sketches.join(members.groupBy("node").agg(F.collect_set("t").alias("groups")), "node")
     placed = _with_components(_places(members, full).join(sketches, "node"), found)
-    pairs = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_tree_pairs(MARGIN if trust else None, full), "u long, v long, sure boolean")
+    pairs = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_tree_pairs(MARGIN if trust else None), "u long, v long, sure boolean")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "sure").where("u != v")
     return written(pairs.groupBy("u", "v").agg(F.max("sure").alias("sure")), "possible")
 

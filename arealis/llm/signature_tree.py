@@ -17,16 +17,12 @@ LEAF = 8
 
 @dataclass(frozen=True)
 class Sketch:
-    """A set by its size and the bitmap of its tokens modulo ``width`` (a power of two).
-
-    ``groups`` has the tokens of the groups that it is in, if pairs are to be given once.
-    """
+    """A set by its size and the bitmap of its tokens modulo ``width`` (a power of two)."""
 
     name: int
     size: int
     width: int
     bits: int
-    groups: frozenset[int] | None = None
 
 
 def width_of(size: int) -> int:
@@ -136,7 +132,7 @@ def _traverse(s: Tree, t: Tree, find: Callable[[int], int]) -> Iterator[tuple[in
                     yield i, j
 
 
-def possible_links(sets: list[Sketch], others: list[Sketch] | None = None, connected: dict[int, int] | None = None, margin: float | None = 0.02, group: int | None = None) -> list[tuple[int, int, bool]]:
+def possible_links(sets: list[Sketch], others: list[Sketch] | None = None, connected: dict[int, int] | None = None, margin: float | None = 0.02) -> list[tuple[int, int, bool]]:
     """``(name, name, trusted)``: pairs that may link, among ``sets`` or between them and ``others``.
 
     ``connected`` gives names that are known to be connected the same one of them. Pairs that their
@@ -160,8 +156,7 @@ def possible_links(sets: list[Sketch], others: list[Sketch] | None = None, conne
         for i, j in _traverse(s, t, find):
             u, v = s.sets[i], t.sets[j]
             sure = margin is not None and looks_linked(s.maps[i], u.size, t.maps[j], v.size, s.width, margin)
-            if group is None or min(u.groups & v.groups, default=group) == group:
-                out.append((u.name, v.name, sure))
+            out.append((u.name, v.name, sure))
             if sure:
                 parent[find(u.name)] = find(v.name)
 
