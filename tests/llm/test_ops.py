@@ -527,10 +527,63 @@ def test_kneser_ney_against_plain_counts():
             rest = 1 - sum(word.values())
             assert abs(1 - sum(want.values()) - rest * (spare if want is not word else 1)) < 1e-12
         assert mine
-    assert m.features([]) == (0.0,) * 4 and abs(m.features(["unheard"])[0]) < 1e-12
+    assert m.features([]) == (0.0,) * (1 + len(toxicity.PASSAGES)) and abs(m.features(["unheard"])[0]) < 1e-12
     assert m.features(["meanestzz"])[0] > 0  # an unknown form of a beginning that is more toxic
 
 
+def test_toxicity_scores_against_sums_over_words():
+    """The final score by plain loops: models, whole text, passages, weights."""
+    rng = random.Random(12)
+    rows, labels = classifier_rows(rng, lambda t: t + " scum idiot trash")
+    import pandas as pd
+
+    sample = pd.DataFrame([(t, {i: x for i, _, x in labels}[i]) for i, t in rows if i is not None and i in {x[0] for x in labels}], columns=["text", "label"])
+    model = toxicity.train(sample, 0.3)
+    texts = ["", "unheard of", *sample["text"][:30], "scum " * 5 + rows[0][1], " ".join(rows[k][1] for k in range(40)) * 30]
+    for text, got in zip(texts, toxicity.score_texts(model, texts)):
+        w = re.findall(r"[^\W_]+", text.lower())
+        ratio = [math.log(model.probabilities(w[max(k - 1, 0) : k + 1])[1, -1] / model.probabilities(w[max(k - 1, 0) : k + 1])[0, -1]) for k in range(len(w))] if len(w) < 3000 else None
+        if ratio is None:
+            p = model.probabilities(w)
+            ratio = (np.log(p[1]) - np.log(p[0])).tolist()
+        x = [sum(ratio) / len(w) if w else 0.0]
+        for n in toxicity.PASSAGES:
+            starts = range(0, max(len(w) - n // 2, 1), max(n // 2, 1))
+            x.append(max(sum(ratio[s : s + n]) / n for s in starts) if w else 0.0)
+        z = sum(a * b for a, b in zip([*x, 1.0], model.weights))
+        assert abs(got - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9
+
+
+def test_cross_validation_prefers_a_discount_that_helps():
+    rng = random.Random(12)
+    rows, labels = classifier_rows(rng, lambda t: t + " scum idiot trash")
+    import pandas as pd
+
+    known = {i: x for i, _, x in labels}
+    sample = pd.DataFrame([(t, known[i]) for i, t in rows if known.get(i) is not None], columns=["text", "label"])
+    losses = [toxicity.cross_validated_loss(sample, 0.5, discount=d, pair_discount=8.0) for d in (1.0, 3.0)]
+    assert all(0 < x < 0.5 for x in losses)
+
+
+def test_bytes_through_the_network_by_plain_loops():
+    net = quality.ByteNet.random(filters=3, width=4, seed=1)
+    net.bias += np.array([0.1, -0.2, 0.05], np.float32)
+    net.prior = -0.3
+    rng = random.Random(1)
+    for n in (0, 1, 3, 4, 5, 255, 259, 260, 600, 3000, 70_000):
+        text = bytes(rng.randrange(256) for _ in range(n))
+        b = text.ljust(4, b"\0")
+        step = quality.STEP
+        at = lambda s, f: sum(float(net.taps[k, b[s + k], f]) for k in range(4))
+        places = len(b) - 3
+        steps = [range(lo, min(lo + step, places)) for lo in range(0, places, step)]
+        best = [[max(at(s, f) for s in r) for f in range(3)] for r in steps]
+        chunks = [[max(x, y) for x, y in zip(p, q)] for p, q in zip(best, best[1:])] or best
+        relu = [[max(v + float(net.bias[f]), 0.0) for f, v in enumerate(c)] for c in chunks]
+        h = [sum(c[f] for c in relu) / len(relu) for f in range(3)] + [max(c[f] for c in relu) for f in range(3)]
+        assert abs(net.logit(text) - (sum(x * float(o) for x, o in zip(h, net.out)) + net.prior)) < 1e-4
+
+
 def test_licence_labels_and_scores_equal_every_start_tried(spark):
     rng = random.Random(6)
     loose = sorted({w for t, *_ in license_scan.TEMPLATES for w in t.split()})
