@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from arealis.llm.common import documents, table
-from arealis.llm.labelled import labelled_sample, prior_shift, scored, sigmoid
+from arealis.llm.labelled import fit_logistic, labelled_sample, prior_shift, scored, sigmoid
 
 #: Chunks are two steps long and start at every step, so neighbours overlap by half.
 STEP = 256
@@ -103,25 +106,65 @@ class ByteNet:
         return self
 
 
-def train(sample: pd.DataFrame, share: float | None = None) -> ByteNet:
+def train(sample: pd.DataFrame, share: float | None = None, spark: SparkSession | None = None, folds: int = 3) -> ByteNet:
+    """The network of a labelled sample, its output put on the scale of texts it has not seen.
+
+    A network separates what it learned from nearly without error, so its own sums say
+    little about how sure it may be. Networks of all but one fold each score that fold;
+    a logistic fit on these scores gives slope and intercept, moved to where ``share`` of
+    all rows have label 1. With ``spark`` the networks are fitted in tasks.
+    """
     labels = sample["label"].to_numpy()
     if not len(labels) or labels.min() == labels.max():
         net = ByteNet.random()
         net.out[:] = 0
         net.prior = 0.0 if not len(labels) else float(np.log((labels.sum() + 1) / ((1 - labels).sum() + 1)))
         return net
-    net = ByteNet.random().fit([t.encode() for t in sample["text"]], labels)
-    net.prior += prior_shift(labels, share)
+    texts = [t.encode() for t in sample["text"]]
+    # rows are in the order of their ids: folds by a fixed shuffle, each with its part of both labels
+    part = np.empty(len(labels), dtype=int)
+    for y in (0, 1):
+        at = np.random.default_rng(5).permutation(np.flatnonzero(labels == y))
+        part[at] = np.arange(len(at)) % folds
+    learn = lambda k: _fold(texts, labels, part, k)
+    if spark is None:
+        found = [learn(k) for k in range(folds + 1)]
+    else:
+        held = spark.sparkContext.broadcast((texts, labels, part))
+
+        def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b.column("id").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(_fold(*held.value, k))])], names=["k", "fit"])
+
+        rows = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(fits, "k long, fit binary").collect()
+        found = [pickle.loads(r.fit) for r in sorted(rows, key=lambda r: r.k)]
+    net, unseen = found[folds][0], np.zeros(len(labels))
+    for k in range(folds):
+        unseen[part == k] = found[k][1]
+    slope, cut = fit_logistic(unseen[:, None], labels)
+    net.out *= np.float32(slope)
+    net.prior = float(net.prior * slope + cut) + prior_shift(labels, share)
     return net
 
 
+def _fold(texts: list[bytes], labels: np.ndarray, part: np.ndarray, k: int) -> tuple[ByteNet, np.ndarray]:
+    """A network of all texts outside fold ``k``, and what it makes of those inside."""
+    net = ByteNet.random().fit([t for t, p in zip(texts, part) if p != k], labels[part != k])
+    return net, np.array([net.logit(t) for t, p in zip(texts, part) if p == k])
+
+
 def score_texts(net: ByteNet, texts: list[str]) -> np.ndarray:
     return sigmoid(np.array([net.logit(t.encode()) for t in texts]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, rows_a_class: int = 2000, learn_chars: int = 20_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, rows_a_class: int = 2000, learn_chars: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
+    A score is the probability of label 1 if ``threshold`` of all rows had it, so a text
+    that speaks for neither label scores just that, whatever label is the commoner one:
+    what is predicted errs about as often on either label.
+
     The network learns from at most ``rows_a_class`` labelled documents of each class
     with at most ``learn_chars`` characters (documented bounds), and scores whole texts
     of any length. Nulls and edges: a null text is the empty text, which is padded with
@@ -129,8 +172,9 @@ def quality(docs: DataFrame, labels: DataFrame, rows_a_class: int = 2000, learn_
     without labels of both classes every score is the same; an empty table gives an
     empty result; other columns are ignored.
     """
-    net = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", rows_a_class, learn_chars)))
-    return scored(docs, lambda texts: score_texts(net.value, texts), 0.3)
+    sample, _ = labelled_sample(docs, labels, "quality", rows_a_class, learn_chars)
+    net = docs.sparkSession.sparkContext.broadcast(train(sample, threshold, docs.sparkSession))
+    return scored(docs, lambda texts: score_texts(net.value, texts), threshold)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
