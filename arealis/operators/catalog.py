@@ -28,7 +28,7 @@ def freshness(sources: DataFrame, as_of: str) -> DataFrame:
 
 def detect_sources(logs: DataFrame, keywords: DataFrame, key: str, text: str) -> DataFrame:
     """``keywords(source, keyword)``, a list written by hand: which sources each text mentions."""
-    return logs.select(key, F.col(text).alias("_text")).join(F.broadcast(keywords), F.lower("_text").contains(F.lower("keyword"))).select(key, "source").distinct()
+    return logs.select(key, F.col(text).alias("_text")).join(_listed(keywords), F.lower("_text").contains(F.lower("keyword"))).select(key, "source").distinct()
 
 
 def staleness(used: DataFrame, sources: DataFrame) -> DataFrame:
@@ -74,39 +74,21 @@ def facet_filter(df: DataFrame, **facets) -> DataFrame:
     return df
 
 
-# Patterns of the text rules, with their status.
-RULES = [
-    ("sensitive", "FAIL", r"\b(crime|criminal|gang|illegal|ghetto|slum)\b"),
-    ("policy", "WARN", r"\b(should|must|recommend|needs to)\b"),
-    ("superlative", "WARN", r"\b(best|worst|most|least|highest|lowest)\b"),
-    ("passive", "INFO", r"\b(was|were|been|is being) \w+ed\b"),
-]
+#: Rows that a list written by hand may have; it is broadcast and every text is searched for all of it.
+LISTED = 10_000
 
 
-def scan_text(docs: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """Hits of the text rules by line; each line counts for the first rule it meets.
-
-    A policy verb with a disclaimer within ``n`` lines, or a superlative with a citation,
-    is none. Passive wording counts only after a heading of key findings.
-    """
-    lines = docs.select(F.col(key), F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    near = F.lower(F.array_join(F.collect_list("line").over(w.rowsBetween(-n, n)), " "))
-    started = F.max(F.lower("line").rlike("^#* *key finding")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumns({"_near": near, "_on": F.coalesce(started, F.lit(False)), "_l": F.lower("line")})
-    excuse = {"policy": ~F.col("_near").rlike("disclaimer|not a recommendation|for information"), "superlative": ~F.col("_near").rlike(r"source:|\(\d{4}\)|\[\d+\]"), "passive": F.col("_on")}
-    rule, status = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, level, pattern in reversed(RULES):
-        hit = F.col("_l").rlike(pattern) & excuse.get(name, F.lit(True))
-        rule, status = F.when(hit, name).otherwise(rule), F.when(hit, level).otherwise(status)
-    return rows.withColumns({"rule": rule, "status": status}).where("rule is not null").select(key, "line_no", "rule", "status")
+def _listed(rows: DataFrame) -> DataFrame:
+    if (n := rows.limit(LISTED + 1).count()) > LISTED:
+        raise ValueError(f"a list of keywords has {LISTED} rows at most, this one has {n} or more")
+    return F.broadcast(rows)
 
 
 def match_citation(df: DataFrame, registry: DataFrame, text: str) -> DataFrame:
     """The first citation by ``ordinal`` whose keyword occurs; ``registry`` is a list written by hand."""
     key = "_row"
     rows = df.withColumn(key, F.xxhash64(text))
-    hits = rows.select(key, text).distinct().join(F.broadcast(registry), F.lower(text).contains(F.lower("keyword"))).groupBy(key, text).agg(F.min_by("citation", "ordinal").alias("citation"))
+    hits = rows.select(key, text).distinct().join(_listed(registry), F.lower(text).contains(F.lower("keyword"))).groupBy(key, text).agg(F.min_by("citation", "ordinal").alias("citation"))
     return rows.join(hits, [key, text], "left").drop(key)
 
 
@@ -123,7 +105,10 @@ def inventory(assets: DataFrame, manifests: DataFrame, inspections: DataFrame) -
 
 
 def lineage(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of ``log(step, inputs, outputs)``: input to step, step to output."""
+    """Nodes and edges of ``log(step, inputs, outputs)``: input to step, step to output.
+
+    Steps without files are nodes, too: ``orphans`` finds those without an edge.
+    """
     into = log.select(F.explode("inputs").alias("src"), F.col("step").alias("dst"))
     out = log.select(F.col("step").alias("src"), F.explode("outputs").alias("dst"))
     edges = into.unionByName(out).distinct()
@@ -132,3 +117,9 @@ def lineage(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("m") & F.col("u"), "intermediate").when(F.col("m"), "output").otherwise("input")
     nodes = files.select("node", kind.alias("kind")).unionByName(log.select(F.col("step").alias("node"), F.lit("operation").alias("kind")).distinct())
     return nodes, edges
+
+
+def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that no edge begins or ends at."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
+    return nodes.join(ends, "node", "left_anti")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealis.operators.shapes import convex_pieces
 from arealis.sources.shared import cut
 
 
@@ -101,11 +102,16 @@ def sqrt_scale(df: DataFrame, col: str, low: float = 20.0, high: float = 800.0)
     return df.join(top).withColumn("size", F.coalesce(size, F.lit(low))).drop("_top")
 
 
+def dot_unit(df: DataFrame, cols: Sequence[str], most: int = 50_000) -> float:
+    """What a dot stands for so that about ``most`` dots are drawn for all columns: the total by ``most``, 1 at least."""
+    total = df.agg(*(F.sum(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(f"s{i}") for i, c in enumerate(cols))).first()
+    return max(1.0, sum(v or 0.0 for v in total) / most)
+
+
 def dots(df: DataFrame, col: str, unit: float, key: str, seed: int = 0) -> DataFrame:
     """``round(value / unit)`` points for each row, at places drawn from its box by a seeded hash.
 
-    Needs ``xmin, ymin, xmax, ymax``; points outside a polygon are for the caller to
-    filter with ``geometry.contains``.
+    Needs ``xmin, ymin, xmax, ymax``; ``dots_inside`` keeps to the polygon.
     """
     n = F.coalesce(F.bround(F.greatest(F.col(col), F.lit(0.0)) / unit, 0).cast("int"), F.lit(0))
     rows = df.where(n > 0).withColumn("dot", F.explode(F.sequence(F.lit(1), n)))
@@ -113,6 +119,28 @@ def dots(df: DataFrame, col: str, unit: float, key: str, seed: int = 0) -> DataF
     return rows.withColumns({"x": F.col("xmin") + (F.col("xmax") - F.col("xmin")) * u(1), "y": F.col("ymin") + (F.col("ymax") - F.col("ymin")) * u(2)})
 
 
+def dots_inside(df: DataFrame, col: str, unit: float, key: str, seed: int = 0) -> DataFrame:
+    """``(key, dot, x, y)``: ``round(value / unit)`` points inside each row's polygon ``rings``, of any shape.
+
+    A polygon becomes triangles; a seeded hash picks one by its share of the area and a
+    place in it, so no point is drawn in vain and none is lost. Keys are unique; rows
+    without a polygon that has an area get no dots.
+    """
+    n = F.coalesce(F.bround(F.greatest(F.col(col), F.lit(0.0)) / unit, 0).cast("int"), F.lit(0))
+    parts = convex_pieces(df.where(n > 0).select(key, "rings")).drop("rings")
+    third = lambda i: F.struct(F.get("piece", F.lit(0)).alias("a"), F.get("piece", i).alias("b"), F.get("piece", i + 1).alias("c"))
+    fan = parts.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("piece") - 2), third)).alias("t")).select(key, "t.*")
+    size = F.abs((F.col("b.x") - F.col("a.x")) * (F.col("c.y") - F.col("a.y")) - (F.col("b.y") - F.col("a.y")) * (F.col("c.x") - F.col("a.x")))
+    w = Window.partitionBy(key).orderBy("a", "b", "c")
+    fan = fan.withColumn("s", size).withColumns({"hi": F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("s").over(Window.partitionBy(key))})
+    fan = fan.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).withColumn("last", F.lead("hi").over(w).isNull())
+    u = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col(key), F.col("dot")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = df.where(n > 0).select(key, F.explode(F.sequence(F.lit(1), n)).alias("dot")).withColumns({"u": u(1), "p": F.sqrt(u(2)), "q": u(3)})
+    hit = drawn.join(fan, key).where((F.col("u") * F.col("all") >= F.col("lo")) & ((F.col("u") * F.col("all") < F.col("hi")) | F.col("last")))
+    at = lambda k: (1 - F.col("p")) * F.col(f"a.{k}") + F.col("p") * ((1 - F.col("q")) * F.col(f"b.{k}") + F.col("q") * F.col(f"c.{k}"))
+    return hit.select(key, "dot", at("x").alias("x"), at("y").alias("y"))
+
+
 def fisher_classes(n: np.ndarray, total: np.ndarray, squares: np.ndarray, k: int) -> list[int]:
     """The last place of each of ``k`` classes of sorted groups with the least sum of squares within (Fisher 1958).
 

@@ -76,6 +76,11 @@ def quality_points(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return df.agg(points.cast("int").alias("points"), F.lit(30).alias("possible"), F.round(pct, 1).alias("null_pct"))
 
 
+def grade(score: Column) -> Column:
+    """A letter for a score out of a hundred: A from 90, B from 80, C from 70, D from 60, else F."""
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").when(score.isNotNull(), "F")
+
+
 def check_contract(log: DataFrame, required: Mapping[str, Sequence[str]], kind: str = "kind", payload: str = "payload") -> DataFrame:
     """JSON records with the fields that their kind lacks."""
     missing = F.array().cast("array<string>")

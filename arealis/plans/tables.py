@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.functions.columns import break_label, full_address, geoid, no_sentinel, smart_round, to_numeric, travel_minutes
-from arealis.operators import catalog, classify, clean, joins, profile, quality, rank, rates
+from arealis.operators import catalog, classify, clean, joins, profile, quality, rank, rates, reports
 from arealis.plans.registry import Tables, query, r6, select6
 from arealis.sources import payloads
 from arealis.sources.tables import run_sql
@@ -461,17 +461,25 @@ def inventory_search(t: Tables) -> DataFrame:
     return catalog.search_inventory(t.documents, "source", ["text", "lang"], "Public License")
 
 
-@query("""
-WITH l AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, lower(unnest(string_split(text, chr(10)))) AS line FROM conversations),
-k AS (SELECT *, conv_id * 1000 + turn AS k FROM l),
-n AS (SELECT *, string_agg(line, ' ') OVER (PARTITION BY k ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, coalesce(bool_or(regexp_matches(line, '^#* *key finding')) OVER (PARTITION BY k ORDER BY line_no), false) AS started FROM k),
-r AS (SELECT k, line_no, CASE WHEN regexp_matches(line, '\\b(crime|criminal|gang|illegal|ghetto|slum)\\b') THEN 'sensitive'
- WHEN regexp_matches(line, '\\b(should|must|recommend|needs to)\\b') AND NOT regexp_matches(near, 'disclaimer|not a recommendation|for information') THEN 'policy'
- WHEN regexp_matches(line, '\\b(best|worst|most|least|highest|lowest)\\b') AND NOT regexp_matches(near, 'source:|\\(\\d{4}\\)|\\[\\d+\\]') THEN 'superlative'
- WHEN regexp_matches(line, '\\b(was|were|been|is being) \\w+ed\\b') AND started THEN 'passive' END AS rule FROM n)
-SELECT k, CAST(line_no AS INTEGER) AS line_no, rule, CASE rule WHEN 'sensitive' THEN 'FAIL' WHEN 'passive' THEN 'INFO' ELSE 'WARN' END AS status FROM r WHERE rule IS NOT NULL""")
+@query(r"""
+WITH l AS (SELECT doc_id AS k, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+n AS (SELECT *, string_agg(line, ' ') OVER (PARTITION BY k ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, concat_ws(' ', line, lead(line) OVER (PARTITION BY k ORDER BY line_no)) AS two,
+ coalesce(bool_or(regexp_matches(line, '(?i)^#+\s*(key finding|finding|conclusion|summary|result|hero|executive)')) OVER (PARTITION BY k ORDER BY line_no), false) AS begun FROM l),
+h AS (SELECT k, line_no, 'race_causal_language' AS rule, 'FAIL' AS severity, NULL::BOOLEAN AS in_key_section FROM n WHERE (regexp_matches(line,
+ '(?i)(^|[^\pL\pN_])(because|due to|caused by|driven by|attributable to|explained by|result of|owing to|leads? to|results? in|causes?)([^\pL\pN_.][^.]{0,58}[^\pL\pN_.]|[^\pL\pN_.])(race|racial|ethnicity|ethnic|hispanic|latino|latina|latinx|black|white|asian|indigenous|native american|african american|minority|minorities|people of color|poc)($|[^\pL\pN_])')
+ OR regexp_matches(line, '(?i)(^|[^\pL\pN_])(race|racial|ethnicity|ethnic|hispanic|latino|latina|latinx|black|white|asian|indigenous|native american|african american|minority|minorities|people of color|poc)([^\pL\pN_.][^.]{0,58}[^\pL\pN_.]|[^\pL\pN_.])(causes?|drives?|leads? to|results? in|explains?|determines?|predicts?|accounts? for)($|[^\pL\pN_])'))
+ AND NOT regexp_matches(line, '(?i)(^|[^\pL\pN_])(disproportionately affect|disproportionate|more likely|less likely|higher rates? among|lower rates? among|concentrated among|predominantly|largely|mostly|majority|correlated with|associated with|compared to)($|[^\pL\pN_])')
+UNION ALL SELECT k, line_no, 'policy_without_disclaimer', 'WARN', NULL FROM n WHERE regexp_matches(line, '(?i)(^|[^\pL\pN_])(should|must|recommends?|ought to|urges?|calls? for|proposes?|advocates?|suggest|suggests? that (the county|the city|the state|officials?|policymakers?))($|[^\pL\pN_])')
+ AND NOT regexp_matches(near, '(?i)(^|[^\pL\pN_])(note|disclaimer|caveat|caution|limitation|based on|subject to|contingent|pending|further analysis|additional research|not a substitute|for informational|not policy advice|consult)($|[^\pL\pN_])')
+UNION ALL SELECT k, line_no, 'superlative_without_citation', 'WARN', NULL FROM n WHERE regexp_matches(line, '(?i)(^|[^\pL\pN_])(worst|best|most|highest|lowest|greatest|least|largest|smallest|number one|#1|top-ranked|bottom-ranked)($|[^\pL\pN_])')
+ AND NOT regexp_matches(two, '(?i)(\([^)]{3,}\)|\[\d+\]|according to|per the|data show|figure \d|table \d|see appendix|as shown|source:|\d{4} [A-Z])')
+UNION ALL SELECT k, line_no, 'passive_uncertainty', 'INFO', begun FROM n WHERE regexp_matches(line, '(?i)(^|[^\pL\pN_])((may|might|could) (suggest|indicate)|(could|may) imply|seems? to (indicate|suggest|imply|show)|appears? to (indicate|suggest)|tends? to suggest|would seem to|seems? like|seems? as though)($|[^\pL\pN_])')
+UNION ALL SELECT k, line_no, 'sensitive_topic', 'WARN', NULL FROM n WHERE contains(lower(line), 'license') OR contains(lower(line), 'password')
+UNION ALL SELECT k, line_no, 'hero_contradicts_belief', 'WARN', NULL FROM n WHERE list_has_any(string_split_regex(trim(lower(line)), '\s+'), ['software', 'granted', 'permission']) AND regexp_matches(line, '(?i)(^|[^\pL\pN_])(not|no|contrary|opposite|contradicts?|disproves?|challenges?|unexpected|surprising|counter|(lower|higher|less|more) than expected)($|[^\pL\pN_])'))
+SELECT k, CAST(line_no AS INTEGER) AS line_no, rule, severity, in_key_section FROM h""")
 def text_rules(t: Tables) -> DataFrame:
-    return catalog.scan_text(t.conversations.withColumn("k", F.col("conv_id") * 1000 + F.col("turn")), "k", "text")
+    hits = reports.scan_report(t.documents.withColumnRenamed("doc_id", "k"), "k", "text", ["license", "password"], "software permission granted for all", ["it is free"])
+    return hits.select("k", "line_no", "rule", "severity", "in_key_section")
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'apache license') THEN 'Apache' WHEN contains(lower(text), 'mit license') THEN 'MIT' END AS citation FROM documents""")

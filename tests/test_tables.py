@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arealis.functions.columns import break_label, clean_name, smart_round, to_numeric
-from arealis.operators import catalog, classify, clean, joins, profile, quality, rank, rates
+from arealis.functions import geometry as g
+from arealis.operators import catalog, classify, clean, joins, profile, quality, rank, rates, reports
 
 
 def rows(df):
@@ -98,9 +99,54 @@ def test_quality_and_text_rules(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "id int, v double")
     checks = quality.check_rows(df, 5).unionByName(quality.check_nulls(df, ["v"], 10)).unionByName(quality.check_required(df, ["id", "no"]))
     assert rows(quality.overall(checks)) == [(1, 1, 2, "FAIL")]
-    text = "The crime here\nwe should act\nfor information\n# Key findings\nwas counted\nplain"
-    docs = spark.createDataFrame([(1, text), (2, "we should go"), (3, None)], "id int, text string")
-    assert sorted(rows(catalog.scan_text(docs, "id", "text"))) == [(1, 0, "sensitive", "FAIL"), (1, 4, "passive", "INFO"), (2, 0, "policy", "WARN")]
+
+
+def test_report_rules(spark):
+    texts = {
+        1: "Eviction rates rose\nBecause of crime, evictions fell",  # topics in the order of the brief
+        2: "Income here is lower than expected\nincome is as always\nNot the income, though",
+        3: "Poverty is caused by race.\nRace is correlated with what causes poverty\nCauses. And then race\nHispanic families: this predicts income\nblackbird causes",
+        4: "The city should act\na\nb\nc\nThe city should act\nd\nthis is based on counts\nmustard",
+        5: "The highest rate\nis here (Table 2)\nThe worst of all\n\nIt is almost done\nthe best [3]",
+        6: "this may suggest growth\n## Key Findings\nit seems to show less\nit seems",
+        7: "",
+        8: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string")
+    hits = reports.scan_report(docs, "id", "text", ["crime", "Eviction"], "Income growth is slow", ["all grows"])
+    found = {(r.id, r.line_no, r.rule): (r.severity, r.matched, r.in_key_section) for r in hits.collect()}
+    assert found == {
+        (1, 1, "sensitive_topic"): ("WARN", "Eviction", None),
+        (1, 2, "sensitive_topic"): ("WARN", "crime", None),
+        (2, 1, "hero_contradicts_belief"): ("WARN", None, None),
+        (3, 1, "race_causal_language"): ("FAIL", "caused by race", None),
+        (3, 4, "race_causal_language"): ("FAIL", "Hispanic families: this predicts", None),
+        (4, 1, "policy_without_disclaimer"): ("WARN", None, None),
+        (5, 3, "superlative_without_citation"): ("WARN", "worst", None),
+        (6, 1, "policy_without_disclaimer"): ("WARN", None, None),  # "suggest" is one of its verbs
+        (6, 1, "passive_uncertainty"): ("INFO", "may suggest", False),
+        (6, 3, "passive_uncertainty"): ("INFO", "seems to show", True),
+    }
+    assert {r.id: r.status for r in reports.report_status(hits, "id").collect()} == {1: "WARN", 2: "WARN", 3: "FAIL", 4: "WARN", 5: "WARN", 6: "WARN"}
+    plain = reports.scan_report(docs, "id", "text")
+    assert {r.rule for r in plain.select("rule").distinct().collect()} == {"race_causal_language", "policy_without_disclaimer", "superlative_without_citation", "passive_uncertainty"}
+
+
+def test_dots_stay_inside(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    shapes = [(1, [ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (3, 1), (3, 3), (1, 3))], 3000.0), (2, [ring((0, 0), (3, 0), (0, 1))], 26.0), (3, [ring((0, 0), (1, 1), (2, 2))], 50.0), (4, None, 50.0), (5, [ring((0, 0), (1, 0), (1, 1))], None)]
+    df = spark.createDataFrame(shapes, "id int, rings array<array<struct<x:double,y:double>>>, n double")
+    dots = classify.dots_inside(df, "n", 10.0, "id").join(df, "id").withColumn("in", g.contains(F.col("rings"), F.col("x"), F.col("y"))).toPandas()
+    assert dots.groupby("id").size().to_dict() == {1: 300, 2: 3} and dots["in"].all()
+    assert 110 < (dots[dots.id == 1].y < 2).sum() < 190  # as much as its area
+    assert classify.dot_unit(df, ["n"], 100) == 31.26 and classify.dot_unit(df.limit(0), ["n"]) == 1.0
+
+
+def test_grades_and_orphans(spark):
+    scores = spark.createDataFrame([(s,) for s in (95, 90, 89, 70, 60, 59, None)], "s int")
+    assert [r.g for r in scores.select(quality.grade(F.col("s")).alias("g")).collect()] == ["A", "A", "B", "C", "D", "F", None]
+    log = spark.createDataFrame([("a", ["x"], ["y"]), ("b", [], []), ("c", None, None)], "step string, inputs array<string>, outputs array<string>")
+    assert {r.node for r in catalog.orphans(*catalog.lineage(log)).collect()} == {"b", "c"}
 
 
 def test_stage_status(spark):
