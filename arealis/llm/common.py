@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,16 @@ def deleted(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def shuffles_dropped(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
+
+    It does so once the driver's JVM has collected its garbage, which may be long after
+    a step with large shuffles has been written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

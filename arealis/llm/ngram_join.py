@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealis.llm.common import connected_components, deleted, documents, map_batches, texts_as_bytes, written
+from arealis.llm.common import connected_components, deleted, documents, map_batches, shuffles_dropped, texts_as_bytes, written
 from arealis.llm.decontamination import SHINGLES_SQL, WORDS_SQL
 from arealis.llm.signature_tree import DEN, NUM, Sketch, bitmap, possible_links
 
@@ -227,21 +227,27 @@ def _connected_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     held = classes.where("node is not null").select("node", F.col("n_shingles").alias("n"), F.xxhash64("d1", "d2").alias("key"), F.posexplode("signature").alias("place", "t"))
-    tokens = held.groupBy("t").agg(F.count("*").alias("c"), F.bit_xor("key").alias("x"), F.sum(F.hash("key").cast("long")).alias("s")).where("c > 1")
-    one = tokens.groupBy("c", "x", "s").agg(F.min("t").alias("t")).select("t")  # the least of the shingles that the same sets hold
+    tokens = held.groupBy("t").agg(F.count("*").alias("c"), F.bit_xor("key").alias("x"), F.sum(F.hash("key").cast("long")).alias("s"), F.min("place").alias("p")).where("c > 1")
+    one = tokens.groupBy("c", "x", "s").agg(F.min(F.struct("p", "t")).alias("m")).select("m.t")  # of shingles that the same sets hold the first in their order
     members = written(held.drop("key").join(one, "t"), "members")
+    del tokens, one
+    shuffles_dropped(spark)
     nodes = members.select("node").distinct()
     # the one time that texts are shuffled; sorted, since at scale no side of this fits a broadcast
     texts = written(docs.hint("merge").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"), "texts")
+    shuffles_dropped(spark)
     checked, found = spark.createDataFrame([], "u long, v long, linked boolean"), spark.createDataFrame([], "node long, component long")
 
     def search(now: DataFrame, full: bool, trust: bool) -> DataFrame:
         nonlocal checked, found
         now = _with_components(now, found)
         if full:
-            several = now.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("t")
-            now = written(now.join(several, "t", "left_semi"), "open-members")
+            several = now.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("least")).where("a != b").select("t", "least")
+            # two linked sets are found at their first common shingle; there at most n - place others can be common
+            enough = (NUM + DEN) * (F.col("n") - F.col("place")) >= NUM * (F.col("n") + F.col("least"))
+            now = written(now.join(several, "t").where(enough).drop("least"), "open-members")
         possible = _possible(now, classes, found, full, trust)
+        shuffles_dropped(spark)
         checked, found = _settled(possible, texts, checked, found)
         return possible
 
