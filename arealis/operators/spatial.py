@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
+from arealis.operators.nearest import nearest_join
 from arealis.operators.shapes import relations
 from arealis.sources.shared import cut
 
@@ -108,31 +109,6 @@ def count_within_distance(left: DataFrame, right: DataFrame, key: str, distance:
     return left.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_within"))
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, start: float, max_distance: float | None = None, k: int = 1) -> DataFrame:
-    """The nearest right points of each left point with distance ``d``; ties all stay.
-
-    Looks within ``start``, then within twice as far for the points that found fewer
-    than ``k``, until all have or ``max_distance`` (else the extent of the points) is reached.
-    """
-    r = right.select(F.col(right_key).alias("_rk"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    if max_distance is None:
-        e = left.select("x", "y").unionByName(right.select("x", "y")).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("e")).first().e
-        max_distance = max(e or 0.0, start)
-    todo, out, distance = left.select(key, "x", "y"), None, min(start, max_distance)
-    w = Window.partitionBy(key).orderBy(F.round("d", 9))  # equal distances may differ in their last bits
-    while True:
-        pairs = near_pairs(todo, r, distance).withColumns({"_n": F.rank().over(w), "_all": F.count("*").over(Window.partitionBy(key))})
-        last = distance >= max_distance
-        done = pairs.where("_n <= " + str(k) + ("" if last else f" and _all >= {k}")).select(key, F.col("_rk").alias(right_key), "d")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        todo = todo.join(done.select(key).distinct(), key, "left_anti")
-        distance = min(2 * distance, max_distance)
-        if todo.isEmpty():
-            return out
-
-
 def exclude_near(left: DataFrame, right: DataFrame, key: str, distance: float) -> DataFrame:
     near = near_pairs(left.select(key, "x", "y"), right.select(F.col("x").alias("x2"), F.col("y").alias("y2")), distance, strict=True)
     return left.join(near.select(key).distinct(), key, "left_anti")

@@ -1,13 +1,17 @@
-"""Queries over models, permutations and reach areas."""
+"""Queries over models, permutations, reach areas, the layer registry and the run log."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.operators import lag_model, local_tests, network, stats
-from arealis.plans.places import _y, areas, cells, roads
+from arealis.plans.places import _PEOPLE, _SHOPS, _y, areas, cells, people, roads, shops
 from arealis.plans.registry import Tables, query, r6, select6
+from arealis.sources.registry import LayerRegistry, RunLog
+from arealis.sources.shared import shared_dir
 
 
 @query()
@@ -49,3 +53,29 @@ def isochrone_areas(t: Tables) -> DataFrame:
 @query()
 def isochrone_unions(t: Tables) -> DataFrame:
     return select6(network.dissolved_isochrones(_reached(t), 4000.0), "minutes", "facilities")
+
+
+@query(f"""SELECT 'people' AS name, 'point' AS geometry_type, count(*) AS n, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, 'all of them' AS note FROM {_PEOPLE}
+UNION ALL SELECT 'shops', 'point', count(*), min(x), min(y), max(x), max(y), NULL FROM {_SHOPS} UNION ALL SELECT 'orders', 'table', count(*), NULL, NULL, NULL, NULL, NULL FROM orders""")
+def layer_registry(t: Tables) -> DataFrame:
+    """What the registry says after layers were added, replaced, removed and compacted."""
+    r = LayerRegistry(t.spark, f"{shared_dir(t.spark)}/layers-{uuid.uuid4().hex}")
+    r.register("people", people(t).where("id % 2 = 0"))
+    r.register("shops", shops(t))
+    r.register("nations", t.nation)
+    r.register("people", people(t), "all of them")
+    r.remove("nations")
+    r.compact()
+    r.register("orders", t.orders)
+    return r.layers().select("name", "geometry_type", "n", "xmin", "ymin", "xmax", "ymax", "note")
+
+
+@query("""SELECT 'read' AS step, count(*) AS rows, CAST(count(*) - count(l_shipdate) AS BIGINT) AS null_dates FROM lineitem
+UNION ALL SELECT 'returned', count(*), CAST(count(*) - count(l_shipdate) AS BIGINT) FROM lineitem WHERE l_returnflag = 'R'""")
+def run_log(t: Tables) -> DataFrame:
+    """Rows and nulls of two steps, logged as one pass over the table ends."""
+    log = RunLog(t.spark, f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex}")
+    read = log.watch(t.lineitem, "read")
+    log.watch(read.where("l_returnflag = 'R'"), "returned").write.format("noop").mode("overwrite").save()
+    log.close()
+    return log.rows().select("step", "rows", F.col("nulls")["l_shipdate"].alias("null_dates"))
