@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.operators import lag_model, local_tests, network, stats
+from arealis.operators import lag_model, local_tests, network, raster, stats, stitch
 from arealis.plans.places import _PEOPLE, _SHOPS, _y, areas, cells, people, roads, shops
 from arealis.plans.registry import Tables, query, r6, select6
 from arealis.sources.registry import LayerRegistry, RunLog
@@ -79,3 +79,10 @@ def run_log(t: Tables) -> DataFrame:
     log.watch(read.where("l_returnflag = 'R'"), "returned").write.format("noop").mode("overwrite").save()
     log.close()
     return log.rows().select("step", "rows", F.col("nulls")["l_shipdate"].alias("null_dates"))
+
+
+@query()
+def contour_lines(t: Tables) -> DataFrame:
+    """Contour lines by level: closed ones, all of them, and their length."""
+    lines = stitch.line_lengths(raster.contours(cells(t).select("row", "col", "v"), 100.0))
+    return select6(lines.groupBy("level").agg(F.count_if("closed").alias("rings"), F.count("*").alias("lines"), F.sum("length").alias("length")), "level", "rings", "lines")

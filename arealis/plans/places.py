@@ -379,7 +379,10 @@ def contour_lengths(t: Tables) -> DataFrame:
     return raster.contours(cells(t).select("row", "col", "v"), 100.0).groupBy("level").agg(F.count("*").alias("segments"), r6(F.sum("length"), "length"))
 
 
-@query()
+@query(f"""
+WITH k AS (SELECT d, exp(-d * d / 2.0) AS w FROM range(-4, 5) t(d)),
+h AS (SELECT a.row, a.col, sum(b.v * w) / sum(w) AS v FROM {_CELLS} a CROSS JOIN k JOIN {_CELLS} b ON b.row = a.row AND b.col = a.col + d GROUP BY 1, 2)
+SELECT a.row, a.col, round(sum(b.v * w) / sum(w), 6) AS v FROM h a CROSS JOIN k JOIN h b ON b.col = a.col AND b.row = a.row + d GROUP BY 1, 2""")
 def smoothed(t: Tables) -> DataFrame:
     return select6(raster.smooth(cells(t).select("row", "col", "v")), "row", "col")
 
@@ -389,7 +392,14 @@ def filled_depressions(t: Tables) -> DataFrame:
     return raster.fill_depressions(cells(t).select("row", "col", "v"))
 
 
-@query()
+_FLOWS = f"""(SELECT row * 50 + col AS src, (row + dr) * 50 + col + dc AS dst FROM (SELECT a.row, a.col, dr, dc, (a.v - b.v) / (CASE WHEN dr * dc = 0 THEN 1 ELSE sqrt(2) END) AS drop,
+ row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.v - b.v) / (CASE WHEN dr * dc = 0 THEN 1 ELSE sqrt(2) END) DESC, k) AS i FROM {_CELLS} a,
+ (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) d(k, dr, dc) JOIN {_CELLS} b ON b.row = a.row + dr AND b.col = a.col + dc) WHERE i = 1 AND drop > 0)"""
+
+
+@query(f"""
+WITH RECURSIVE f AS MATERIALIZED {_FLOWS}, w AS (SELECT row * 50 + col AS src, row * 50 + col AS at FROM {_CELLS} UNION ALL SELECT w.src, f.dst FROM w JOIN f ON f.src = w.at)
+SELECT at // 50 AS row, at % 50 AS col, count(*) AS acc FROM w GROUP BY at""")
 def accumulation(t: Tables) -> DataFrame:
     return raster.flow_accumulation(raster.flow_direction(cells(t).select("row", "col", "v")))
 
@@ -410,7 +420,14 @@ def roads(t: Tables) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "minutes"))
 
 
-@query()
+_ROADS = """(SELECT p_partkey AS src, p_partkey + 1 AS dst, p_size AS minutes FROM part WHERE p_partkey % 50 < 49 AND p_partkey + 1 < (SELECT count(*) FROM part)
+ UNION ALL SELECT p_partkey + 1, p_partkey, p_size FROM part WHERE p_partkey % 50 < 49 AND p_partkey + 1 < (SELECT count(*) FROM part)
+ UNION ALL SELECT p_partkey, p_partkey + 50, p_size FROM part WHERE p_partkey + 50 < (SELECT count(*) FROM part) UNION ALL SELECT p_partkey + 50, p_partkey, p_size FROM part WHERE p_partkey + 50 < (SELECT count(*) FROM part))"""
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED {_ROADS}, r AS (SELECT * FROM (VALUES (1, 10, 0), (2, 777, 0)) v(source, node, cost) UNION SELECT r.source, e.dst, r.cost + e.minutes FROM r JOIN e ON e.src = r.node WHERE r.cost + e.minutes <= 40)
+SELECT CAST(source AS BIGINT) AS source, CAST(m AS DOUBLE) AS minutes, count(DISTINCT node) AS nodes FROM r, (VALUES (20), (40)) l(m) WHERE cost <= m GROUP BY source, m""")
 def isochrones(t: Tables) -> DataFrame:
     return network.isochrones(roads(t), t.spark.createDataFrame([(1, 10), (2, 777)], "source long, node long"), [20.0, 40.0])
 
