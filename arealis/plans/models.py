@@ -84,5 +84,5 @@ def run_log(t: Tables) -> DataFrame:
 @query()
 def contour_lines(t: Tables) -> DataFrame:
     """Contour lines by level: closed ones, all of them, and their length."""
-    lines = stitch.line_lengths(raster.contours(cells(t).select("row", "col", "v"), 100.0))
+    lines = stitch.line_lengths(raster.contours(cells(t).select("row", "col", F.col("b2").alias("v")), 12.5))
     return select6(lines.groupBy("level").agg(F.count_if("closed").alias("rings"), F.count("*").alias("lines"), F.sum("length").alias("length")), "level", "rings", "lines")

@@ -398,8 +398,8 @@ _FLOWS = f"""(SELECT row * 50 + col AS src, (row + dr) * 50 + col + dc AS dst FR
 
 
 @query(f"""
-WITH RECURSIVE f AS MATERIALIZED {_FLOWS}, w AS (SELECT row * 50 + col AS src, row * 50 + col AS at FROM {_CELLS} UNION ALL SELECT w.src, f.dst FROM w JOIN f ON f.src = w.at)
-SELECT at // 50 AS row, at % 50 AS col, count(*) AS acc FROM w GROUP BY at""")
+WITH RECURSIVE f AS MATERIALIZED {_FLOWS}, w AS (SELECT row * 50 + col AS src, row * 50 + col AS cell FROM {_CELLS} UNION ALL SELECT w.src, f.dst FROM w JOIN f ON f.src = w.cell)
+SELECT cell // 50 AS row, cell % 50 AS col, count(*) AS acc FROM w GROUP BY cell""")
 def accumulation(t: Tables) -> DataFrame:
     return raster.flow_accumulation(raster.flow_direction(cells(t).select("row", "col", "v")))
 
