@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,10 +43,13 @@ def shuffles_dropped(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
 
     It does so once the driver's JVM has collected its garbage, which may be long after
-    a step with large shuffles has been written.
+    a step with large shuffles has been written. Spark lets go of a step's plan a moment
+    after its end, hence the second time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

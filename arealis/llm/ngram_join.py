@@ -287,6 +287,7 @@ def jaccard_components(docs: DataFrame, few: int | None = None) -> DataFrame:
     classes = written(classes, "classes")
     rows = written(sets.select("doc_id", "n_shingles", "d1", "d2"), "rows")
     deleted(sets)
+    shuffles_dropped(docs.sparkSession)
     found = _connected_classes(docs, classes)
     named = written(classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")), "class-components")
     deleted(classes)
