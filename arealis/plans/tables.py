@@ -476,10 +476,10 @@ UNION ALL SELECT k, line_no, 'superlative_without_citation', 'WARN', NULL FROM n
 UNION ALL SELECT k, line_no, 'passive_uncertainty', 'INFO', begun FROM n WHERE regexp_matches(line, '(?i)(^|[^\pL\pN_])((may|might|could) (suggest|indicate)|(could|may) imply|seems? to (indicate|suggest|imply|show)|appears? to (indicate|suggest)|tends? to suggest|would seem to|seems? like|seems? as though)($|[^\pL\pN_])')
 UNION ALL SELECT k, line_no, 'sensitive_topic', 'WARN', NULL FROM n WHERE contains(lower(line), 'license') OR contains(lower(line), 'password')
 UNION ALL SELECT k, line_no, 'hero_contradicts_belief', 'WARN', NULL FROM n WHERE list_has_any(string_split_regex(trim(lower(line)), '\s+'), ['software', 'granted', 'permission']) AND regexp_matches(line, '(?i)(^|[^\pL\pN_])(not|no|contrary|opposite|contradicts?|disproves?|challenges?|unexpected|surprising|counter|(lower|higher|less|more) than expected)($|[^\pL\pN_])'))
-SELECT k, CAST(line_no AS INTEGER) AS line_no, rule, severity, in_key_section FROM h""")
+SELECT k, CAST(line_no AS INTEGER) AS line_no, rule, severity, coalesce(in_key_section, false) AS in_key_section FROM h""")
 def text_rules(t: Tables) -> DataFrame:
     hits = reports.scan_report(t.documents.withColumnRenamed("doc_id", "k"), "k", "text", ["license", "password"], "software permission granted for all", ["it is free"])
-    return hits.select("k", "line_no", "rule", "severity", "in_key_section")
+    return hits.select("k", "line_no", "rule", "severity", F.coalesce("in_key_section", F.lit(False)).alias("in_key_section"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'apache license') THEN 'Apache' WHEN contains(lower(text), 'mit license') THEN 'MIT' END AS citation FROM documents""")
