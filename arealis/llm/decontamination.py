@@ -24,7 +24,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def item_index(benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """``(item_id, shingle, n, need, sketch)`` of the items, partitioned by size.
+    """``(item_id, shingle, n, need, sketch)`` of the items.
 
     ``need`` is the least number of an item's ``n`` shingles that a match has. The
     sketch is the item's bottom MinHash values, as many as its size asks for: a document

@@ -183,6 +183,7 @@ def _digest(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters or more in five documents or more go but for the last; keys are compared as 128-bit hashes."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_batches(_with_bitmaps(docs, 40, 5).select("doc_id", "_text", "_bitmap"), _digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
