@@ -105,3 +105,8 @@ def flag_institutional(df: DataFrame, name: str, poverty: str | None = None) ->
     if poverty:
         found = found | (F.col(poverty) > 60)
     return df.withColumn("institutional", F.coalesce(found, F.lit(False)))
+
+
+def with_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
+    """Rows whose text id begins with ``prefix``, as a state's code; the scan gets the condition."""
+    return df.where(F.startswith(F.col(col), F.lit(prefix)))
