@@ -134,3 +134,45 @@ def test_flood_labels():
     level, label, spill = flow.flood(np.array([[5.0, 5, 5, 5], [5, 1, 4, 5], [5, 5, 5, 3]]))
     assert level[1, 1] == 4 and level[1, 2] == 4 and label[1, 1] == label[1, 2] == label[2, 3]
     assert all(w == 5 for w in spill.values())
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that loops write."""
+    import contextlib
+    import io
+
+    from arealis.operators import flow, network
+    from arealis.sources.shared import cut
+
+    seen = []
+
+    def watched(df, *name):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        seen.append(out.getvalue())
+        return cut(df, *name)
+
+    for module in (raster, flow, network):
+        monkeypatch.setattr(module, "cut", watched)
+    return seen
+
+
+def _packed(spark):
+    """Cells of a slope read from files, which seem small enough to broadcast."""
+    from arealis.sources.shared import cut
+
+    return cut(spark.range(48).selectExpr("id div 8 as row", "id % 8 as col", "cast(id * 7 % 48 as double) as v"))
+
+
+def test_flow_sends_no_cells_to_the_driver(spark, plans):
+    acc = raster.flow_accumulation(raster.flow_direction(_packed(spark)))
+    assert acc.count() == 48 and len(plans) > 3
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_catchments_and_orders_send_no_cells_to_the_driver(spark, plans):
+    d = raster.cut(raster.flow_direction(_packed(spark)))
+    e = raster.flow_edges(d).selectExpr("row * 8 + col as src", "to_row * 8 + to_col as dst")
+    assert raster.catchment(d, 0, 0).count() >= 1 and raster.strahler(e).count() == 48 and len(plans) > 5
+    assert not any("BroadcastHashJoin" in p for p in plans)
