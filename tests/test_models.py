@@ -147,3 +147,29 @@ def test_reach_areas(spark):
         inside = lambda x, y, h: all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(h, h[1:] + h[:1]))
         area = sum(any(inside((i + 0.5) / steps, (j + 0.5) / steps, h) for h in hulls) for i in range((n - 1) * steps) for j in range((n - 1) * steps)) / steps**2
         assert union[limit][0] == len(hulls) and abs(union[limit][1] - area) < 0.15
+
+
+def test_equal_sums_count_whatever_their_order(spark):
+    df = spark.createDataFrame(list(enumerate([0.1, 0.2, 0.3, 0.7])), "id long, y double")
+    W = spark.createDataFrame([(i, j, 1.0) for i in range(4) for j in range(4) if i != j], "i long, j long, w double")
+    got = local_tests.permutation_p(df, W, "y", "gi_star", 99).collect()
+    assert [r.p_sim for r in got] == [1 / 100] * 4
+
+
+def test_local_tests_send_no_places_to_the_driver(spark, monkeypatch):
+    import contextlib
+    import io
+
+    plans, cut = [], local_tests.cut
+
+    def watched(d, *name):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            d.explain()
+        plans.append(out.getvalue())
+        return cut(d, *name)
+
+    df = cut(spark.range(30).selectExpr("id", "cast(id * 7 % 30 as double) as y"))
+    W = cut(spark.range(29).selectExpr("id as i", "id + 1 as j", "1.0D as w"))
+    monkeypatch.setattr(local_tests, "cut", watched)
+    assert local_tests.permutation_p(df, W, "y", "moran", 9).count() == 30 and len(plans) == 3
+    assert "BroadcastHashJoin" not in plans[1]
