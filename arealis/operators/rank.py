@@ -129,8 +129,12 @@ def thin(df: DataFrame, order: str, x: str, y: str, distance: float, max_rounds:
 
     Rounds over the pairs of near points: a row goes when a lower near one stays, and
     stays when all lower near ones have gone. This ends with what the walk gives.
+    Of rows in one place only the first can stay, so the pairs are of different places.
     """
-    pts = df.select(F.col(order).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    every = df.select(F.col(order).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    pts = every.where(placed).groupBy("x", "y").agg(F.min("id").alias("id")).unionByName(every.where(~placed))
+    pts = cut(pts.select("id", "x", "y"))
     pairs = cut(near_pairs(pts, pts.withColumnsRenamed({"id": "id2", "x": "x2", "y": "y2"}), distance, strict=True).where("id2 < id").select("id", "id2"))
     open_rows, kept = pts.select("id"), pts.select("id").limit(0)
     for _ in range(max_rounds):
