@@ -32,7 +32,8 @@ def near_pairs(left: DataFrame, right: DataFrame, distance: float, strict: bool
     l = left.where("x is not null and y is not null").withColumn("_c", F.explode(_cells(F.col("x") - distance, F.col("y") - distance, F.col("x") + distance, F.col("y") + distance, distance)))
     r = right.where("x2 is not null and y2 is not null").withColumns({"_cx": cell("x2"), "_cy": cell("y2")})
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    out = l.join(r, (F.col("_c.cx") == F.col("_cx")) & (F.col("_c.cy") == F.col("_cy"))).withColumn("d", d)
+    # merged: packed files would make Spark send a side of any size to the driver
+    out = l.join(r.hint("merge"), (F.col("_c.cx") == F.col("_cx")) & (F.col("_c.cy") == F.col("_cy"))).withColumn("d", d)
     return out.where(F.col("d") < distance if strict else F.col("d") <= distance).drop("_c", "_cx", "_cy")
 
 
@@ -102,16 +103,24 @@ def count_within(polys: DataFrame, points: DataFrame, key: str, size: float) ->
     return polys.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
+def _places(points: DataFrame) -> DataFrame:
+    return points.select("x", "y").distinct()
+
+
 def count_within_distance(left: DataFrame, right: DataFrame, key: str, distance: float) -> DataFrame:
-    """Right points within ``distance`` of each left point, 0 where none."""
-    r = right.select(F.col("x").alias("x2"), F.col("y").alias("y2"))
-    n = near_pairs(left.select(key, "x", "y"), r, distance).groupBy(key).agg(F.count("*").alias("n"))
-    return left.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_within"))
+    """Right points within ``distance`` of each left point, 0 where none.
+
+    Pairs are made of different places, however many points stand in each.
+    """
+    r = right.groupBy(F.col("x").alias("x2"), F.col("y").alias("y2")).agg(F.count("*").alias("_m"))
+    n = near_pairs(_places(left), r, distance).groupBy("x", "y").agg(F.sum("_m").alias("n"))
+    return left.select(key, "x", "y").join(n, ["x", "y"], "left").select(key, F.coalesce("n", F.lit(0)).alias("n_within"))
 
 
 def exclude_near(left: DataFrame, right: DataFrame, key: str, distance: float) -> DataFrame:
-    near = near_pairs(left.select(key, "x", "y"), right.select(F.col("x").alias("x2"), F.col("y").alias("y2")), distance, strict=True)
-    return left.join(near.select(key).distinct(), key, "left_anti")
+    """Left points without a right point nearer than ``distance``; pairs are made of different places."""
+    near = near_pairs(_places(left), _places(right).select(F.col("x").alias("x2"), F.col("y").alias("y2")), distance, strict=True)
+    return left.join(near.select("x", "y").distinct(), ["x", "y"], "left_anti").select(*left.columns)
 
 
 def clip_points(points: DataFrame, area: DataFrame, key: str, size: float) -> DataFrame:
@@ -194,12 +203,17 @@ def weighted_centroid(zones: DataFrame, tracts: DataFrame, zone: str, tract: str
 
 
 def band_profile(targets: DataFrame, layer: DataFrame, key: str, bands: Sequence[float], category: str, nested: bool = False) -> DataFrame:
-    """Layer points by distance band and category around each target; bands may be nested."""
-    r = layer.select(F.col("x").alias("x2"), F.col("y").alias("y2"), category)
-    pairs = near_pairs(targets.select(key, "x", "y"), r, max(bands))
+    """Layer points by distance band and category around each target; bands may be nested.
+
+    Points of one category in one place are counted first, targets in one place share
+    the result, so pairs are made of different places.
+    """
+    r = layer.groupBy(F.col("x").alias("x2"), F.col("y").alias("y2"), category).agg(F.count("*").alias("_m"))
+    pairs = near_pairs(_places(targets), r, max(bands))
     fits = F.array(*(F.when(F.col("d") <= b, F.lit(float(b))) for b in sorted(bands)))
     pairs = pairs.withColumn("band", F.explode(F.array_compact(fits))) if nested else pairs.withColumn("band", F.array_min(F.array_compact(fits)))
-    return pairs.groupBy(key, "band", category).agg(F.count("*").alias("n"))
+    n = pairs.groupBy("x", "y", "band", category).agg(F.sum("_m").alias("n"))
+    return targets.select(key, "x", "y").join(n, ["x", "y"]).groupBy(key, "band", category).agg(F.sum("n").alias("n"))
 
 
 def area_share(tracts: DataFrame, zones: DataFrame, tract: str, zone: str, kind: str, count: str, size: float) -> DataFrame:

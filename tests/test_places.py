@@ -179,3 +179,25 @@ def test_moran_of_groups_equals_each_alone(spark):
         one = stats.morans_i(df.where(F.col("project") == p).drop("project"), stats.row_standardise(W), "y").first()
         assert all(math.isclose(got[p][c], one[c], abs_tol=1e-9) for c in ("moran_i", "expected", "z", "p")) and got[p].verdict == one.verdict
     assert got["few"].n == 4 and got["few"].moran_i is None
+
+
+def test_pairs_are_of_different_places(spark, monkeypatch):
+    near, seen = spatial.near_pairs, []
+
+    def counted(*args, **kw):
+        out = near(*args, **kw)
+        seen.append(out.count())
+        return out
+
+    for module in (spatial, rank):
+        monkeypatch.setattr(module, "near_pairs", counted)
+    rows = [(i, i % 2 * 0.1, 0.0, "ab"[i % 4 // 2]) for i in range(40)]
+    here = spark.createDataFrame([*rows, (98, 9.0, 9.0, "a"), (99, None, 0.0, "a")], "id int, x double, y double, kind string")
+    layer = spark.createDataFrame(rows, here.schema)
+    n = {r.id: r.n_within for r in spatial.count_within_distance(here, layer, "id", 0.5).collect()}
+    assert n == {**{i: 40 for i in range(40)}, 98: 0, 99: 0}
+    assert {r.id for r in spatial.exclude_near(here, layer, "id", 0.5).collect()} == {98, 99}
+    bands = {(r.id, r.band, r.kind): r.n for r in spatial.band_profile(here, layer, "id", [0.05, 0.5], "kind").collect()}
+    assert bands == {(i, b, k): 10 for i in range(40) for b in (0.05, 0.5) for k in "ab"}
+    assert {r.id for r in rank.thin(here, "id", "x", "y", 0.3).collect()} == {0, 98, 99}
+    assert max(seen) <= 10
