@@ -65,13 +65,14 @@ def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "
     Points on the right are taken where they are inside polygons. Otherwise polygons may
     have any shape, with holes and several parts, and ``predicate`` is one of
     ``intersects`` (any common point), ``contains``, ``within``, ``overlaps``,
-    ``touches`` and ``crosses`` as in ``shapes.relations``. ``how`` is inner, left or
+    ``touches`` and ``crosses`` as in ``shapes.relations``, or ``interiors``: shapes that
+    share more than their borders. ``how`` is inner, left or
     right; ``fields`` chooses right columns. ``right_key`` names a unique right column;
     without it right rows are written once with numbers, where pairs need them. Null and
     empty shapes match nothing; repeated right rows each match.
     """
     shape = next((c for c in ("rings2", "line2") if c in right.columns), None)
-    if shape and predicate not in ("intersects", "contains", "within", "overlaps", "touches", "crosses"):
+    if shape and predicate not in ("intersects", "contains", "within", "overlaps", "touches", "crosses", "interiors"):
         raise ValueError(f"shapes don't offer {predicate}")
     keep = [c for c in right.columns if c != shape]
     if shape or how == "right":
@@ -79,7 +80,7 @@ def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "
         if shape:
             own = "line" if "line" in left.columns else "rings"
             pairs = relations(left.select(F.col(key).alias("lid"), own), r.select(F.col("_rid").alias("rid"), F.col(shape).alias(shape[:-1])), size)
-            pairs = pairs.where(predicate).select(F.col("lid").alias(key), F.col("rid").alias("_rid"))
+            pairs = pairs.where("intersects and not touches" if predicate == "interiors" else predicate).select(F.col("lid").alias(key), F.col("rid").alias("_rid"))
         else:
             pairs = points_in(left, r.select("_rid", "x", "y"), size).select(key, "_rid")
         if how == "right":
@@ -128,16 +129,31 @@ def clip_points(points: DataFrame, area: DataFrame, key: str, size: float) -> Da
 
 
 def overlaps(zones: DataFrame, tracts: DataFrame, zone: str, tract: str, size: float) -> DataFrame:
-    """``(zone, tract, frac)``: the share of each tract's area inside each convex zone."""
-    z = _zone_boxes(zones, zone)
-    pairs = box_pairs(with_bounds(tracts.select(tract, "rings")), z, size)
-    frac = g.clip_area(F.col("rings"), F.col("_z")) / F.nullif(g.area(F.col("rings")), F.lit(0.0))
-    return pairs.select(zone, tract, F.least(frac, F.lit(1.0)).alias("frac")).where("frac > 0")
+    """``(zone, tract, frac)``: the share of each tract's area inside each convex zone.
 
-
-def _zone_boxes(zones: DataFrame, zone: str) -> DataFrame:
-    b = zones.select(zone, "rings", g.bounds(F.col("rings")).alias("_zb"))
-    return b.select(zone, F.get("rings", F.lit(0)).alias("_z"), *(F.col(f"_zb.{c}").alias(f"{c}2") for c in ("xmin", "ymin", "xmax", "ymax")))
+    Equal zones are clipped once and share the result. Where both are upright boxes the
+    product of their common sides is taken, which has no rounding beyond that of the sides.
+    """
+    shapes = _zone_boxes(zones.select("rings").distinct())
+    pairs = box_pairs(with_bounds(tracts.select(tract, "rings", _upright(F.col("rings")).alias("_box"))), shapes, size)
+    side = lambda k: F.greatest(F.least(f"{k}max2", f"{k}max") - F.greatest(f"{k}min2", f"{k}min"), F.lit(0.0))
+    common = F.when(F.col("_box") & F.col("_box2"), side("x") * side("y")).otherwise(g.clip_area(F.col("rings"), F.get("_zr", F.lit(0))))
+    frac = common / F.nullif(g.area(F.col("rings")), F.lit(0.0))
+    found = pairs.select("_zr", tract, F.least(frac, F.lit(1.0)).alias("frac")).where("frac > 0")
+    return zones.select(zone, F.col("rings").alias("_zr")).join(found, "_zr").select(zone, tract, "frac")
+
+
+def _upright(rings: Column) -> Column:
+    """Whether a polygon is one box with sides along the axes."""
+    ring, b = F.get(rings, F.lit(0)), g.bounds(rings)
+    corner = F.forall(ring, lambda p: ((p.x == b.xmin) | (p.x == b.xmax)) & ((p.y == b.ymin) | (p.y == b.ymax)))
+    turn = F.forall(g.edges(ring), lambda e: (e.a.x == e.b.x) != (e.a.y == e.b.y))
+    return F.coalesce((F.size(rings) == 1) & (F.size(ring) == 4) & (F.size(F.array_distinct(ring)) == 4) & corner & turn, F.lit(False))
+
+
+def _zone_boxes(zones: DataFrame) -> DataFrame:
+    b = zones.select(F.col("rings").alias("_zr"), g.bounds(F.col("rings")).alias("_zb"))
+    return b.select("_zr", _upright(F.col("_zr")).alias("_box2"), *(F.col(f"_zb.{c}").alias(f"{c}2") for c in ("xmin", "ymin", "xmax", "ymax")))
 
 
 def areal_weighted_mean(zones: DataFrame, tracts: DataFrame, zone: str, tract: str, variables: Sequence[str], size: float) -> DataFrame:

@@ -201,3 +201,29 @@ def test_pairs_are_of_different_places(spark, monkeypatch):
     assert bands == {(i, b, k): 10 for i in range(40) for b in (0.05, 0.5) for k in "ab"}
     assert {r.id for r in rank.thin(here, "id", "x", "y", 0.3).collect()} == {0, 98, 99}
     assert max(seen) <= 10
+
+
+def test_shares_of_boxes_are_products_of_sides(spark, monkeypatch):
+    clipped = []
+    pairs = spatial.box_pairs
+    monkeypatch.setattr(spatial, "box_pairs", lambda *a: clipped.append(pairs(*a).count()) or pairs(*a))
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    at = {i: (0.6 + i * 0.037, 0.7 + i * 0.053) for i in range(12)}
+    zones = {i: box(x - 0.4, y - 0.4, x + 0.4, y + 0.4) for i, (x, y) in at.items()}
+    rows = [*zones.items(), *((i + 100, z) for i, z in zones.items()), (50, ring((0.5, 0), (1, 0.5), (0.5, 1), (0, 0.5)))]
+    z = spark.createDataFrame(rows, f"zone int, rings {RINGS}")
+    t = spark.createDataFrame([(7, box(0, 0, 1, 1)), (8, L_SHAPE)], f"tract int, rings {RINGS}")
+    got = {(r.zone, r.tract): r.frac for r in spatial.overlaps(z, t, "zone", "tract", 1.0).collect()}
+    for i, (x, y) in at.items():
+        share = max(min(x + 0.4, 1.0) - max(x - 0.4, 0.0), 0.0) * max(min(y + 0.4, 1.0) - max(y - 0.4, 0.0), 0.0)
+        assert got.get((i, 7), 0.0) == got.get((i + 100, 7), 0.0) == share
+    assert abs(got[50, 7] - 0.5) < 1e-12 and abs(got[50, 8] - 0.5 / 3) < 1e-12
+    assert clipped[0] <= 2 * 13
+
+
+def test_interiors_leave_out_shapes_that_only_touch(spark):
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    left = spark.createDataFrame([(1, box(0, 0, 1, 1)), (2, box(0, 0, 1, 1)), (3, box(0.5, 0.5, 1.5, 1.5))], f"id int, rings {RINGS}")
+    right = spark.createDataFrame([("beside", box(1, 0, 2, 1)), ("corner", box(1, 1, 2, 2)), ("same", box(0, 0, 1, 1)), ("again", box(0, 0, 1, 1))], f"name string, rings2 {RINGS}")
+    got = {(r.id, r.name) for r in spatial.spatial_join(left, right, "id", "interiors").collect()}
+    assert got == {(1, "same"), (1, "again"), (2, "same"), (2, "again"), (3, "beside"), (3, "corner"), (3, "same"), (3, "again")}
