@@ -142,13 +142,21 @@ def difference_area(rings: Column, outer: Column, inner: Column) -> Column:
     return F.greatest(clip_area(rings, outer) - clip_area(rings, inner), F.lit(0.0))
 
 
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once for a row; a plain expression is repeated wherever ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def point_on_surface(ring: Column) -> Column:
     """The middle of the first inner stretch of a scan line through the middle of the box."""
-    b = bounds(F.array(ring))
-    y = (b.ymin + b.ymax) / 2 + (b.ymax - b.ymin) * F.lit(1e-9)
-    hits = F.filter(edges(ring), lambda e: (e.a.y > y) != (e.b.y > y))
-    xs = F.array_sort(F.transform(hits, lambda e: (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x))
-    return F.when(F.size(xs) >= 2, point((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2, y))
+
+    def on_line(r: Column, y: Column) -> Column:
+        hits = F.filter(edges(r), lambda e: (e.a.y > y) != (e.b.y > y))
+        xs = F.array_sort(F.transform(hits, lambda e: (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x))
+        return _once(xs, lambda xs: F.when(F.size(xs) >= 2, point((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2, y)))
+
+    middle = lambda b: (b.ymin + b.ymax) / 2 + (b.ymax - b.ymin) * F.lit(1e-9)
+    return _once(ring, lambda r: _once(_once(bounds(F.array(r)), middle), lambda y: on_line(r, y)))
 
 
 def is_valid(rings: Column) -> Column:

@@ -136,6 +136,16 @@ def test_network_with_a_cut(spark):
     assert {r.minutes: r.nodes for r in near.collect()} == {1.0: 2, 10.0: 4}
 
 
+def test_point_on_surface_computes_the_box_once(spark):
+    rings = [ring((0, 0), (2, 0), (2, 2), (0, 2)), L_SHAPE, None, [[]]]
+    df = spark.createDataFrame(list(enumerate(rings)), f"id int, rings {RINGS}").select("id", "rings", g.point_on_surface(F.get("rings", F.lit(0))).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 2
+    got = {r.id: r.p for r in df.collect()}
+    assert (got[0].x, round(got[0].y, 6)) == (1.0, 1.0) and got[2] is None and got[3] is None
+    inside = df.where(g.contains(F.col("rings"), F.col("p.x"), F.col("p.y"))).select("id").collect()
+    assert {r.id for r in inside} == {0, 1}
+
+
 def test_moran_of_halves_is_clustered(spark):
     df = lattice(spark).withColumn("y", F.when(F.col("id") < 12, 1.0).otherwise(5.0))
     m = stats.moran_gate(stats.morans_i(df, stats.weights(df, "rook"), "y")).first()
