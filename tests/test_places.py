@@ -136,6 +136,21 @@ def test_network_with_a_cut(spark):
     assert {r.minutes: r.nodes for r in near.collect()} == {1.0: 2, 10.0: 4}
 
 
+def test_nearest_facility_takes_few_rounds_on_a_long_road(spark, monkeypatch):
+    hops, rounds = 400, []
+    e = spark.createDataFrame([(i + d, i + 1 - d, 1.0) for i in range(hops) for d in (0, 1)], "src long, dst long, minutes double")
+    f = spark.createDataFrame([("b", 0), ("a", 0), ("c", 150)], "facility string, node long")
+    real = network.cut
+    monkeypatch.setattr(network, "cut", lambda df, *a: rounds.append(1) or real(df, *a))
+    for size in (50_000, 60):
+        rounds.clear()
+        got = {r.node: (r.facility, r.cost) for r in network.nearest_facility(e, e.select(F.col("dst").alias("node")).distinct(), f, 200.0, block_nodes=size).collect()}
+        assert got == {n: ("a", float(n)) if n <= 75 else ("c", abs(n - 150.0)) if n <= 350 else (None, None) for n in range(hops + 1)}
+        assert len(rounds) < 40
+    one = spark.createDataFrame([(7,), (None,)], "node long")
+    assert {(r.node, r.facility) for r in network.nearest_facility(e, one, f.limit(0)).collect()} == {(7, None), (None, None)}
+
+
 def test_point_on_surface_computes_the_box_once(spark):
     rings = [ring((0, 0), (2, 0), (2, 2), (0, 2)), L_SHAPE, None, [[]]]
     df = spark.createDataFrame(list(enumerate(rings)), f"id int, rings {RINGS}").select("id", "rings", g.point_on_surface(F.get("rings", F.lit(0))).alias("p"))
