@@ -13,6 +13,7 @@ from arealis.functions import geometry as g
 from arealis.functions.columns import two_sided_p
 from arealis.operators.rank import with_offsets
 from arealis.operators.spatial import near_pairs, nearest_join
+from arealis.sources.shared import cut
 
 
 def weights(df: DataFrame, kind: str, key: str = "id", k: int = 8, distance: float | None = None) -> DataFrame:
@@ -30,7 +31,8 @@ def weights(df: DataFrame, kind: str, key: str = "id", k: int = 8, distance: flo
     else:
         other = df.select(F.col(key).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
         return near_pairs(df.select(F.col(key).alias("i"), "x", "y"), other, distance).where("i != j").select("i", "j", F.lit(1.0).alias("w"))
-    other = parts.select(F.col(key).alias("j"), "part")
+    # merged, as all joins of places: files are small beside their rows, so Spark would send a side to the driver
+    other = parts.select(F.col(key).alias("j"), "part").hint("merge")
     return parts.select(F.col(key).alias("i"), "part").join(other, "part").where("i != j").select("i", "j").distinct().withColumn("w", F.lit(1.0))
 
 
@@ -44,7 +46,7 @@ def row_standardise(W: DataFrame) -> DataFrame:
 
 def lag(W: DataFrame, df: DataFrame, col: str, key: str = "id") -> DataFrame:
     """``(key, lag)``: the weighted sum over the neighbours."""
-    return W.join(df.select(F.col(key).alias("j"), F.col(col).alias("_v")), "j").groupBy(F.col("i").alias(key)).agg(F.sum(F.col("w") * F.col("_v")).alias("lag"))
+    return W.join(df.select(F.col(key).alias("j"), F.col(col).alias("_v")).hint("merge"), "j").groupBy(F.col("i").alias(key)).agg(F.sum(F.col("w") * F.col("_v")).alias("lag"))
 
 
 def _moments(df: DataFrame, y: str) -> DataFrame:
@@ -111,11 +113,12 @@ def hotspots(df: DataFrame, W: DataFrame, y: str, key: str = "id", alpha: float
     """
     own = df.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(1.0).alias("w"))
     full = W.select("i", "j", "w").unionByName(own)
-    v = df.select(F.col(key).alias("j"), F.col(y).alias("_y"))
+    v = df.select(F.col(key).alias("j"), F.col(y).alias("_y")).hint("merge")
     sums = full.join(v, "j").groupBy(F.col("i").alias(key)).agg(F.sum(F.col("w") * F.col("_y")).alias("_wy"), F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("w")).alias("_w2"))
     n = F.col("n")
     z = (F.col("_wy") - F.col("mean") * F.col("_w")) / (F.sqrt("var") * F.sqrt((n * F.col("_w2") - F.col("_w") * F.col("_w")) / (n - 1)))
     out = sums.join(_moments(df, y)).select(key, z.alias("gi_z")).withColumn("gi_p", two_sided_p(F.col("gi_z")))
+    out = cut(out) if fdr else out  # the threshold reads it several times
     limit = fdr_threshold(out, "gi_p", alpha) if fdr else None
     out = out.join(F.broadcast(limit)) if fdr else out.withColumn("threshold", F.lit(alpha))
     a = F.abs("gi_z")

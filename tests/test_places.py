@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
 from arealis.functions.columns import utm
-from arealis.operators import network, rank, raster, spatial, stats
+from arealis.operators import network, overlay, rank, raster, spatial, stats
 
 
 def ring(*pts):
@@ -161,6 +161,18 @@ def test_point_on_surface_computes_the_box_once(spark):
     assert {r.id for r in inside} == {0, 1}
 
 
+def test_hot_spots_broadcast_nothing_that_grows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "cut", lambda df: df)
+    x, y = (F.col("id") % 5).cast("double"), F.floor(F.col("id") / 5).cast("double")
+    df = spark.range(25).select("id", g.box(x, y, x + 1, y + 1).alias("rings"), F.when(F.col("id") < 10, 9.0).otherwise(F.col("id") % 3).alias("y"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    w = stats.weights(df, "queen")
+    assert "BroadcastHashJoin" not in plan(w) and "BroadcastHashJoin" not in plan(stats.lag(w, df, "y"))
+    scores = stats.hotspots(df, w, "y", fdr=False)
+    assert "BroadcastHashJoin" not in plan(scores) and "BroadcastHashJoin" not in plan(overlay.persistent(scores, scores, "id"))
+    assert {r.id for r in overlay.persistent(scores, stats.hotspots(df, w, "y"), "id").collect()} <= set(range(10))
+
+
 def test_moran_of_halves_is_clustered(spark):
     df = lattice(spark).withColumn("y", F.when(F.col("id") < 12, 1.0).otherwise(5.0))
     m = stats.moran_gate(stats.morans_i(df, stats.weights(df, "rook"), "y")).first()
