@@ -39,3 +39,21 @@ def test_contours_of_a_hill(spark):
     assert abs(sum(r.length for r in lines) - sum(r.length for r in segs.collect())) < 1e-9
     rings = {r.level: r.length for r in lines if r.closed}
     assert rings.keys() == {6.0, 8.0} and all(abs(length - 2 * math.pi * (10 - lv)) < 0.6 for lv, length in rings.items())
+
+
+def test_whole_lines_leave_the_rounds(spark, monkeypatch):
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    square = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    segs = [(1.0, point(3 * k + p[0], p[1]), point(3 * k + q[0], q[1]), 1.0) for k in range(300) for p, q in zip(square, square[1:])]
+    df = spark.createDataFrame(segs, "level double, a struct<x:double,y:double>, b struct<x:double,y:double>, length double")
+    written, real = [], stitch.cut
+
+    def counted(d, *a):
+        out = real(d, *a)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(stitch, "cut", counted)
+    got = stitch.line_lengths(df).collect()
+    assert len(got) == 300 and all(r.closed and r.segments == 4 and r.length == 4.0 for r in got)
+    assert sum(written) < 10 * len(segs)  # rings once went round until the rounds of the longest list were over
