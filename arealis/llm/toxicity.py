@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -12,20 +10,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arealis.llm.common import documents, map_batches, table
-from arealis.llm.labelled import fit_logistic, labelled_sample, prior_shift, scored, sigmoid
+from arealis.llm.common import deleted, documents, map_batches, table, written
+from arealis.llm.labelled import fit_logistic, fit_logistic_rows, labelled_rows, prior_shift, scored, sigmoid
+from arealis.llm.word_counts import FOLDS, bands, model_counts, model_tables, one_of_near_copies, word_counts, words
 
-_WORD = re.compile(r"[^\W_]+")
 #: Letters of the beginnings that rare forms of a word back off to, the shortest first.
 STEMS = (4, 6)
+#: What is taken from a word's document counts, and from those of a pair.
+DISCOUNT, PAIR_DISCOUNT = 3.0, 8.0
 #: Words of the passages that are compared besides the whole text; they start at every half of a length.
 PASSAGES = (1, 2, 4, 8, 16)
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
 @dataclass
 class KneserNey:
     """Word models of order two for two classes.
@@ -50,8 +46,8 @@ class KneserNey:
     weights: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, texts: list[np.ndarray], labels: np.ndarray, names: list[str], discount: float = 3.0, pair_discount: float = 8.0) -> KneserNey:
-        """``texts`` are numbers of words in ``names``; words that no text has stay unknown."""
+    def fit(cls, texts: list[np.ndarray], labels: np.ndarray, names: list[str], discount: float = DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> KneserNey:
+        """``texts`` are numbers of words in ``names``; words that no text has stay unknown. ``of_tables`` makes the same model of counts by Spark."""
         used = np.unique(np.concatenate([*texts, np.zeros(0, np.int64)])).astype(np.int64)
         look = np.zeros(len(names), dtype=np.int64)
         look[used] = np.arange(len(used))
@@ -99,6 +95,41 @@ class KneserNey:
         share = (1 - spare[v[use]]) * kept[:, use] / left[:, v[use]]
         return cls(index, ratios, below, pairs[use], share, spare)
 
+    @classmethod
+    def of_tables(cls, tables: dict, discount: float = DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> KneserNey:
+        """The model of ``model_tables``. It knows the words that a class has above the discount only.
+
+        Both classes give any other word the same part of its beginning, which is how
+        unknown words are treated; pairs with such a word are below their discount too.
+        """
+        below, ratios, up, up_mass = None, [], {}, np.zeros(0)
+        for level, size in zip(tables["levels"], (*STEMS, None)):
+            if below is None:
+                base = np.tile(level["mass"] / (level["all_mass"] + 1), (2, 1))
+            else:
+                at = np.array([up[x[: STEMS[len(ratios) - 1]]] for x in level["names"]], dtype=np.int64)
+                base = below[:, at] * level["mass"] / (up_mass[at] + 1)
+            kept = np.maximum(level["here"] - discount, 0)
+            below = base
+            if level["all_kept"].all():
+                spare = 1 - (level["all_kept"] / level["all_here"]).mean()
+                below = (1 - spare) * kept / level["all_kept"][:, None] + spare * base
+            up, up_mass = {x: i for i, x in enumerate(level["names"])}, level["mass"]
+            if size is not None:
+                ratios.append(dict(zip(up, (np.log(below[1]) - np.log(below[0])).tolist())))
+        size, (first, second, n) = max(len(up), 1), tables["pairs"]
+        often = np.flatnonzero((n > pair_discount).any(0))
+        v, w = (np.array([up[x] for x in c.take(pa.array(often)).to_pylist()], dtype=np.int64) for c in (first, second))
+        kept = np.maximum(n[:, often] - pair_discount, 0)
+        left = np.stack([np.bincount(v, k, size) for k in kept])
+        both = (left > 0).all(0)
+        seen = tables["seen"] if len(up) else np.zeros((2, 1))
+        spare = np.where(both, 1 - (left / np.maximum(seen, 1)).mean(0), 1.0)
+        use = np.flatnonzero(both[v])
+        use = use[np.argsort(v[use] * size + w[use])]
+        share = (1 - spare[v[use]]) * kept[:, use] / left[:, v[use]]
+        return cls(up, ratios, below, v[use] * size + w[use], share, spare)
+
     def probabilities(self, text: list[str]) -> np.ndarray:
         """P of each word after the one before it, in both classes; unknown words have the ratio of their beginning."""
         get, size = self.index.get, max(len(self.index), 1)
@@ -127,17 +158,15 @@ class KneserNey:
         return tuple(out)
 
 
-def _one_of_each(texts: list[np.ndarray], hashes: int = 6) -> list[int]:
-    """Indexes of texts that share none of a few MinHash values of three-word shingles with an earlier one."""
-    seen: set[tuple[int, int]] = set()
+def _one_of_each(texts: list[np.ndarray]) -> list[int]:
+    """Indexes of texts that share no band of MinHash values with an earlier one, as ``one_of_near_copies`` has them."""
+    seen: set[int] = set()
     kept = []
-    turn = np.random.default_rng(3).integers(1, 1 << 62, (hashes, 4), dtype=np.uint64) | np.uint64(1)
     for i, t in enumerate(texts):
-        t = np.concatenate([t, np.zeros(max(0, 3 - len(t)), np.int64)]).astype(np.uint64) + np.uint64(1)
-        marks = {(k, int(((t[:-2] * a + t[1:-1] * b + t[2:] * c) * d >> np.uint64(20)).min())) for k, (a, b, c, d) in enumerate(turn)}
+        marks = set(bands(t))
         if not marks & seen:
             kept.append(i)
-            seen |= marks
+        seen |= marks
     return kept
 
 
@@ -159,11 +188,12 @@ def unseen_features(texts: list[np.ndarray], labels: np.ndarray, names: list[str
 
 
 def train(sample: pd.DataFrame, share: float | None = None, folds: int = 3) -> KneserNey:
-    """The models of a labelled sample; what turns their ratios into a probability is learned on texts that a part model has not seen.
+    """The models of labelled texts in memory, to choose settings by; what turns their ratios into a probability is learned on texts that a part model has not seen.
 
     Copies and near copies within the sample would pass chance words off as evidence, so
     one of each is learned from. ``share`` is the part of toxic rows among all labelled
-    ones, which a sample drawn by class doesn't show.
+    ones, which a sample drawn by class doesn't show. ``learned`` does the same in
+    Spark, over all rows.
     """
     texts, names = numbered(sample["text"])
     kept = _one_of_each(texts)
@@ -198,48 +228,72 @@ def score_texts(model: KneserNey, texts: list[str]) -> np.ndarray:
     return sigmoid(np.array([(*model.features(words(t)), 1.0) for t in texts]) @ model.weights)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, rows_a_class: int = 3000) -> KneserNey:
-    """Learn from at most ``rows_a_class`` labelled documents of each class (a documented bound).
+_built: dict[str, KneserNey] = {}
 
-    The sample is gathered on the driver and learned from in one task, so that the driver
-    holds no more than the sample and the model.
+
+def _model_of(counts: dict, m: int = FOLDS) -> KneserNey:
+    """The model without fold ``m``, or of all rows, made once in a worker."""
+    key = f"{counts['key']}-{m}"
+    if key not in _built:
+        if len(_built) >= FOLDS:
+            _built.clear()
+        _built[key] = KneserNey.of_tables(model_tables(counts, m, DISCOUNT))
+    model = _built[key]
+    model.weights = counts.get("weights")
+    return model
+
+
+def _features_of(counts: dict, b: pa.RecordBatch) -> pa.RecordBatch:
+    models = [_model_of(counts, m) for m in range(FOLDS)]
+    x = [models[f].features(words(t)) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist())]
+    return pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> dict:
+    """What ``_model_of`` makes the model of, learned from every labelled document that is not held out.
+
+    Of near copies the smallest id is learned from. Words and pairs are counted by label
+    and fold; the logistic weights come from sums over partitions of the features that
+    models without a text's fold give it. The driver gets the words and pairs that a class
+    has more often than the discounts, and sums; models are made of them in tasks.
     """
-    spark = docs.sparkSession
-    sample, share = labelled_sample(docs, labels, "toxic", rows_a_class, 40_000)
-    held = spark.sparkContext.broadcast((sample["text"].tolist(), sample["label"].to_numpy(), share))
-    del sample
-
-    def fit(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        texts, known, part = held.value
-        for _ in batches:
-            model = train(pd.DataFrame({"text": texts, "label": known}), part)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    row = spark.range(0, 1, 1, 1).mapInArrow(fit, "model binary").first()
+    texts, share = labelled_rows(docs, labels, "toxic")
+    kept = one_of_near_copies(texts)
+    counts = word_counts(kept, PAIR_DISCOUNT)
+    found = model_counts(counts, STEMS, DISCOUNT)
+    held = docs.sparkSession.sparkContext.broadcast(found)
+    x = written(map_batches(kept, lambda b: _features_of(held.value, b), "label int, x array<double>"), "toxicity-features")
     held.destroy()
-    return pickle.loads(row.model)
+    weights, toxic = fit_logistic_rows(x, 1 + len(PASSAGES))
+    weights[-1] += prior_shift(toxic, share)
+    deleted(kept, counts, x)
+    return found | {"weights": weights}
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> KneserNey:
+    """The model that ``toxicity`` scores with."""
+    return _model_of(learned(docs, labels))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows_a_class: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
-    The models learn from at most ``rows_a_class`` labelled documents of each class, of
-    at most 40,000 characters each and 32 million together (documented bounds; see
-    ``labelled_sample``); whole texts are scored. Nulls and edges: a null text is the empty text and gets the
+    The models learn from all labelled documents that are not held out, whole texts (see
+    ``learned``); whole texts are scored. Nulls and edges: a null text is the empty text and gets the
     score of no evidence; a null ``doc_id`` is not held out; repeated rows get the same
     score; without labels of both classes every score is the same; an empty table gives
     an empty result; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, rows_a_class))
-    return scored(docs, lambda texts: score_texts(model.value, texts), 0.5)
+    held = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
+    return scored(docs, lambda texts: score_texts(_model_of(held.value), texts), 0.5)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows_a_class: int = 3000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose toxicity is below ``threshold``, all columns."""
-    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, rows_a_class))
+    held = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
 
     def keep(b: pa.RecordBatch) -> pa.RecordBatch:
-        p = score_texts(model.value, [x or "" for x in b.column("text").to_pylist()])
+        p = score_texts(_model_of(held.value), [x or "" for x in b.column("text").to_pylist()])
         return b.filter(pa.array(p < threshold))
 
     return map_batches(docs, keep, docs.schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
+from arealis.llm import decontamination, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity, word_counts
 from arealis.llm.common import connected_components, crc_held_out
 from arealis.llm.signature_tree import Sketch, bitmap, possible_links, width_of
 
@@ -531,6 +531,56 @@ def test_kneser_ney_against_plain_counts():
     assert m.features(["meanestzz"])[0] > 0  # an unknown form of a beginning that is more toxic
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """Models counted by Spark, whole and without a fold, against those of the same texts in memory."""
+    monkeypatch.setattr(word_counts, "HELD_KEYS", 3000)
+    rng = random.Random(4)
+    vocabulary = [a + b for a in ("loud", "quiet", "ab", "meanest", "\u00e9t\u00e9s") for b in ("", "er", "est", "ly", "xx")]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 25 if i % 3 else 18]) for _ in range(rng.randrange(1, 60)))) for i in range(700)]
+    labels = [(i, int(i % 3 > 0)) for i, _ in rows] + [(3, None), (9001, 1)]
+    rows += [(900, "loud " * 50_000 + "never"), (901, None), (902, rows[7][1] + " quiet"), (5, "a"), (None, "loud")]
+    labels += [(900, 1), (901, 0), (902, 1), (None, 1)]
+    texts, share = toxicity.labelled_rows(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic")
+    known = {i: y for i, y in labels if i is not None and y is not None and not crc_held_out(i)}
+    plain = {}
+    for i, t in rows:
+        if i in known:
+            plain[i] = min(plain.get(i, t or ""), t or "")
+    assert {r.doc_id: (r.label, r.text) for r in texts.collect()} == {i: (known[i], t) for i, t in plain.items()}
+    assert abs(share - sum(known.values()) / len(known)) < 1e-12
+    kept = word_counts.one_of_near_copies(texts).collect()
+    seen, want = set(), []
+    for i, t in sorted(plain.items()):
+        marks = set(word_counts.bands(np.array([zlib.crc32(w.encode()) for w in toxicity.words(t)], dtype=np.int64)))
+        want += [i] if not marks & seen else []
+        seen |= marks
+    assert sorted(r.doc_id for r in kept) == want and len(want) > 400
+    counts = word_counts.word_counts(spark.createDataFrame(kept, "doc_id long, label int, fold int, text string").repartition(3), 8.0)
+    found = word_counts.model_counts(counts, toxicity.STEMS, 3.0)
+    for m in range(word_counts.FOLDS + 1):
+        mine = [r for r in kept if r.fold != m]
+        ids, names = toxicity.numbered(r.text for r in mine)
+        a = toxicity.KneserNey.fit(ids, np.array([r.label for r in mine]), names)
+        b = toxicity.KneserNey.of_tables(word_counts.model_tables(found, m, 3.0))
+        assert set(b.index) <= set(a.index) and len(b.pairs)
+        for text in [*(r.text for r in kept[:40]), "unheard of loudest meanestzz \u00e9t\u00e9szz", ""]:
+            assert np.allclose(a.features(toxicity.words(text)), b.features(toxicity.words(text)), atol=1e-12)
+            w = [x for x in toxicity.words(text) if x in b.index]
+            assert np.allclose(a.probabilities(w), b.probabilities(w), rtol=1e-12)
+
+
+def test_logistic_fit_by_sums_over_partitions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=500) > 0.7).astype(int)
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x)], "label int, x array<double>")
+    w, ones = toxicity.fit_logistic_rows(rows.repartition(5), 3)
+    assert np.allclose(w, toxicity.fit_logistic(x, y), atol=1e-9) and ones == y.mean()
+    for some in (rows.where("label = 1"), rows.limit(0)):
+        n = some.count()
+        assert np.allclose(toxicity.fit_logistic_rows(some, 3)[0], toxicity.fit_logistic(np.zeros((n, 3)), np.ones(n)))
+
+
 def test_toxicity_scores_against_sums_over_words():
     """The final score by plain loops: models, whole text, passages, weights."""
     rng = random.Random(12)
