@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from arealis.llm.common import deleted, documents, map_batches, table, written
 from arealis.llm.labelled import fit_logistic, fit_logistic_rows, labelled_rows, prior_shift, scored, sigmoid
-from arealis.llm.word_counts import FOLDS, bands, model_counts, model_tables, one_of_near_copies, word_counts, words
+from arealis.llm.word_counts import FOLDS, bands, model_counts, model_tables, one_of_near_copies, some_at_once, word_counts, words
 
 #: Letters of the beginnings that rare forms of a word back off to, the shortest first.
 STEMS = (4, 6)
@@ -44,6 +45,21 @@ class KneserNey:
     pair_kept: np.ndarray  # discounted share of each pair in its context, by class
     spare: np.ndarray  # weight of the word level after each word; 1 where the context is left out
     weights: np.ndarray | None = None
+    unknown: np.ndarray = field(init=False)  # ratio of each beginning, and of none
+
+    def __post_init__(self):
+        self.unknown = np.exp([0.0, *(x for r in self.stem_ratio for x in r.values())])
+        starts = np.cumsum([1, *map(len, self.stem_ratio)]).tolist()
+        self._beginnings = [(n, dict(zip(r, range(at, at + len(r))))) for n, r, at in zip(STEMS, self.stem_ratio, starts)][::-1]
+
+    def numbers(self, text: list[str]) -> np.ndarray:
+        """Places of words in ``index``; of unknown ones ``-1`` less the place of their longest known beginning in ``unknown``."""
+        get = self.index.get
+        w = np.array([get(x, -1) for x in text], dtype=np.int64)
+        for k in np.flatnonzero(w < 0).tolist():
+            x = text[k]
+            w[k] = -1 - next((r[x[:n]] for n, r in self._beginnings if x[:n] in r), 0)
+        return w
 
     @classmethod
     def fit(cls, texts: list[np.ndarray], labels: np.ndarray, names: list[str], discount: float = DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> KneserNey:
@@ -119,7 +135,8 @@ class KneserNey:
                 ratios.append(dict(zip(up, (np.log(below[1]) - np.log(below[0])).tolist())))
         size, (first, second, n) = max(len(up), 1), tables["pairs"]
         often = np.flatnonzero((n > pair_discount).any(0))
-        v, w = (np.array([up[x] for x in c.take(pa.array(often)).to_pylist()], dtype=np.int64) for c in (first, second))
+        names = pa.array(up, pa.string())
+        v, w = (pc.index_in(c.take(pa.array(often)), value_set=names).to_numpy().astype(np.int64) for c in (first, second))
         kept = np.maximum(n[:, often] - pair_discount, 0)
         left = np.stack([np.bincount(v, k, size) for k in kept])
         both = (left > 0).all(0)
@@ -132,30 +149,57 @@ class KneserNey:
 
     def probabilities(self, text: list[str]) -> np.ndarray:
         """P of each word after the one before it, in both classes; unknown words have the ratio of their beginning."""
-        get, size = self.index.get, max(len(self.index), 1)
-        w = np.array([get(x, -1) for x in text], dtype=np.int64)
-        p = self.word_p[:, w] if self.word_p.shape[1] else np.ones((2, len(w)))
-        for k in np.flatnonzero(w < 0):
-            p[:, k] = 1.0, np.exp(next((r[text[k][:n]] for n, r in zip(STEMS[::-1], self.stem_ratio[::-1]) if text[k][:n] in r), 0.0))
-        if len(self.pairs) and len(w) > 1:
-            known = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0))
-            v = w[:-1][known]
-            key = v * size + w[1:][known]
+        return self._probabilities(self.numbers(text), np.arange(len(text)) == 0)
+
+    def _probabilities(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """``probabilities`` of numbers of words; ``first`` marks those that begin a text."""
+        known, size = w >= 0, max(len(self.index), 1)
+        p = np.ones((2, len(w)))
+        p[:, known] = self.word_p[:, w[known]]
+        p[1, ~known] = self.unknown[-1 - w[~known]]
+        if len(self.pairs):
+            after = np.flatnonzero(known[:-1] & known[1:] & ~first[1:])
+            v = w[after]
+            key = v * size + w[after + 1]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            p[:, known + 1] = np.where(self.pairs[at] == key, self.pair_kept[:, at], 0.0) + self.spare[v] * p[:, known + 1]
+            p[:, after + 1] = np.where(self.pairs[at] == key, self.pair_kept[:, at], 0.0) + self.spare[v] * p[:, after + 1]
         return p
 
+    def _features(self, texts: list[np.ndarray]) -> np.ndarray:
+        """``features`` of texts as numbers of words, all at once."""
+        x = np.zeros((len(texts), 1 + len(PASSAGES)))
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        some = np.flatnonzero(size)
+        if not len(some):
+            return x
+        size, w = size[some], np.concatenate(texts)
+        at = np.cumsum(size) - size
+        first = np.zeros(len(w), dtype=bool)
+        first[at] = True
+        p = self._probabilities(w, first)
+        ratio = np.log(p[1]) - np.log(p[0])
+        base = at + np.arange(len(at))
+        r = np.zeros(len(w) + len(at))  # sums from the start of each text, which has its 0 at base
+        for i, b, n in zip(at.tolist(), base.tolist(), size.tolist()):
+            np.cumsum(ratio[i : i + n], out=r[b + 1 : b + 1 + n])
+        x[some, 0] = r[base + size] / size
+        for k, n in enumerate(PASSAGES, 1):
+            step = max(n // 2, 1)
+            starts = -(-np.maximum(size - n // 2, 1) // step)
+            of = np.cumsum(starts) - starts
+            low = (np.arange(starts.sum()) - np.repeat(of, starts)) * step
+            b = np.repeat(base, starts)
+            x[some, k] = np.maximum.reduceat(r[b + np.minimum(low + n, np.repeat(size, starts))] - r[b + low], of) / n
+        return x
+
     def features(self, text: list[str]) -> tuple[float, ...]:
         """Length-normalised log-likelihood of the text, toxic less ordinary, and that of its most toxic passage of each length."""
-        if not text:
-            return (0.0,) * (1 + len(PASSAGES))
-        p = self.probabilities(text)
-        r = np.r_[0.0, np.cumsum(np.log(p[1]) - np.log(p[0]))]
-        out = [float(r[-1] / len(text))]
-        for n in PASSAGES:
-            low = np.arange(0, max(len(text) - n // 2, 1), max(n // 2, 1))
-            out.append(float((r[np.minimum(low + n, len(text))] - r[low]).max() / n))
-        return tuple(out)
+        return tuple(self._features([self.numbers(text)])[0].tolist())
+
+    def features_of(self, texts: list[str]) -> np.ndarray:
+        """``features`` of the words of each text."""
+        found = [self._features([self.numbers(t) for t in some]) for some in some_at_once(texts)]
+        return np.concatenate([np.zeros((0, 1 + len(PASSAGES))), *found])
 
 
 def _one_of_each(texts: list[np.ndarray]) -> list[int]:
@@ -225,7 +269,7 @@ def cross_validated_loss(sample: pd.DataFrame, share: float, folds: int = 5, **s
 
 
 def score_texts(model: KneserNey, texts: list[str]) -> np.ndarray:
-    return sigmoid(np.array([(*model.features(words(t)), 1.0) for t in texts]) @ model.weights)
+    return sigmoid(np.column_stack([model.features_of(texts), np.ones(len(texts))]) @ model.weights)
 
 
 _built: dict[str, KneserNey] = {}
@@ -244,9 +288,12 @@ def _model_of(counts: dict, m: int = FOLDS) -> KneserNey:
 
 
 def _features_of(counts: dict, b: pa.RecordBatch) -> pa.RecordBatch:
-    models = [_model_of(counts, m) for m in range(FOLDS)]
-    x = [models[f].features(words(t)) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist())]
-    return pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+    texts, folds, x = b.column("text").to_pylist(), b.column("fold").to_numpy(), np.zeros((b.num_rows, 1 + len(PASSAGES)))
+    for m in range(FOLDS):
+        mine = np.flatnonzero(folds == m)
+        if len(mine):
+            x[mine] = _model_of(counts, m).features_of([texts[i] for i in mine])
+    return pa.RecordBatch.from_arrays([b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> dict:

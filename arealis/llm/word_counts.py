@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from arealis.llm.common import deleted, map_batches, shuffles_dropped, written
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\w+")
 FOLDS = 3
 #: MinHash values of a text, and how many of them two texts share in a row to be near copies.
 HASHES, BAND = 6, 2
@@ -33,19 +33,45 @@ _CELLS = range(2 * FOLDS)
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.lower().replace("_", " "))
+
+
+def some_at_once(texts: Iterable[str], most: int = 1 << 16) -> Iterator[list[list[str]]]:
+    """The words of texts, for as many at once as have about ``most`` words together, one text at least."""
+    found, held = [], 0
+    for t in texts:
+        found.append(words(t))
+        held += len(found[-1])
+        if held >= most:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
+
+
+def bands_of(texts: list[np.ndarray]) -> list[list[int]]:
+    """For each text digests of each ``BAND`` MinHash values of three-word shingles; numbers stand for words."""
+    size = np.array([max(len(t), 3) for t in texts], dtype=np.int64)
+    at = np.cumsum(size) - size
+    flat = np.zeros(size.sum() + 2, dtype=np.int64)
+    for i, t in zip(at.tolist(), texts):
+        flat[i : i + len(t)] = t
+    t = flat.astype(np.uint64) + np.uint64(1)
+    own = np.column_stack([at, at + size - 2]).ravel()  # shingles that begin in one text and end in the next lie between
+    low = np.stack([np.minimum.reduceat((t[:-2] * a + t[1:-1] * b + t[2:] * c) * d >> np.uint64(20), own)[::2] for a, b, c, d in _TURNS], axis=1)
+    digest = lambda k, x: int.from_bytes(hashlib.blake2b(bytes([k]) + x[k : k + BAND].tobytes(), digest_size=8).digest(), "little", signed=True)
+    return [[digest(k, x) for k in range(0, HASHES, BAND)] for x in low]
 
 
 def bands(numbers: np.ndarray) -> list[int]:
-    """Digests of each ``BAND`` MinHash values of three-word shingles; ``numbers`` stand for words."""
-    t = np.concatenate([numbers, np.zeros(max(0, 3 - len(numbers)), np.int64)]).astype(np.uint64) + np.uint64(1)
-    low = [((t[:-2] * a + t[1:-1] * b + t[2:] * c) * d >> np.uint64(20)).min() for a, b, c, d in _TURNS]
-    parts = [bytes([k]) + np.array(low[k : k + BAND]).tobytes() for k in range(0, HASHES, BAND)]
-    return [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts]
+    """``bands_of`` one text."""
+    return bands_of([numbers])[0]
 
 
 def _with_bands(b: pa.RecordBatch) -> pa.RecordBatch:
-    found = [bands(np.array([zlib.crc32(w.encode()) for w in words(t)], dtype=np.int64)) for t in b.column("text").to_pylist()]
+    found = []
+    for texts in some_at_once(b.column("text").to_pylist()):
+        found += bands_of([np.array([zlib.crc32(w.encode()) for w in t], dtype=np.int64) for t in texts])
     return b.append_column("bands", pa.array(found, pa.list_(pa.int64())))
 
 
@@ -70,6 +96,14 @@ class _Numbers(dict):
         return n
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` with less to do for short arrays."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _counted(turn: int):
     """``(v, w, cell, n)``: documents of a cell that have ``w`` after ``v``; those with ``w`` where ``v`` is null.
 
@@ -95,8 +129,8 @@ def _counted(turn: int):
             for text, label, fold in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), b.column("fold").to_pylist()):
                 t, cell = np.array([index[w] for w in words(text)], dtype=np.int64), label * FOLDS + fold
                 mine = t % PASSES == turn
-                pairs = np.unique((t[:-1] << 32 | t[1:])[mine[1:]])
-                keys[cell] += [np.unique(t[mine]), pairs]
+                pairs = _distinct((t[:-1] << 32 | t[1:])[mine[1:]])
+                keys[cell] += [_distinct(t[mine]), pairs]
                 keys[cell + len(_CELLS)].append(pairs >> 32)
                 held += 3 * len(pairs)
                 if held > HELD_KEYS or len(index) > HELD_WORDS:

@@ -604,6 +604,23 @@ def test_toxicity_scores_against_sums_over_words():
         assert abs(got - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9
 
 
+def test_texts_are_scored_and_banded_together_as_one_by_one():
+    rng = random.Random(12)
+    rows, labels = classifier_rows(rng, lambda t: t + " scum idiot trash")
+    import pandas as pd
+
+    known = {i: x for i, _, x in labels}
+    model = toxicity.train(pd.DataFrame([(t, known[i]) for i, t in rows if known.get(i) is not None], columns=["text", "label"]), 0.3)
+    odd = ["", "  ", "a", "scum_idiot\u00a0TRASH\u2028fool", "\u039f\u0394\u039f\u03a3 \u0130stanbul stra\u00dfe", "x" * 70 + "-" + "y" * 70, "unheard of scumbags", "-- __ ..", "scum\x1cidiot\x85trash"]
+    texts = [*odd, *(t or "" for _, t in rows[:60]), *odd[::-1], " ".join(t or "" for _, t in rows)]
+    assert [toxicity.words(t) for t in texts] == [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    numbers = [np.array([zlib.crc32(w.encode()) for w in toxicity.words(t)], dtype=np.int64) for t in texts]
+    assert word_counts.bands_of(numbers) == [word_counts.bands(t) for t in numbers]
+    alone = np.array([model.features(toxicity.words(t)) for t in texts])
+    assert (model.features_of(texts) == alone).all()
+    assert [w for some in word_counts.some_at_once(texts, 40) for w in some] == [toxicity.words(t) for t in texts]
+
+
 def test_cross_validation_prefers_a_discount_that_helps():
     rng = random.Random(12)
     rows, labels = classifier_rows(rng, lambda t: t + " scum idiot trash")
