@@ -109,9 +109,12 @@ def _places(members: DataFrame, full: bool) -> DataFrame:
     more has blocks of its own, which are not paired with each other.
     """
     zero = F.lit(0).cast("long")
-    weight = members.groupBy("t").agg(F.sum("n").alias("all"))
+    # few rows, each of which stands for more than TREE_SHINGLES; mostly none, and then no group needs what follows
+    crowded = written(members.groupBy("t").agg(F.sum("n").alias("all")).where(F.col("all") > TREE_SHINGLES), "crowded")
+    if crowded.isEmpty():
+        return members.select("t", zero.alias("size"), zero.alias("i"), zero.alias("j"), "node", zero.alias("side"))
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM))).cast("long")
-    members = members.join(weight, "t").withColumn("level", F.when(F.col("all") > TREE_SHINGLES, level))
+    members = members.join(crowded, "t", "left").withColumn("level", F.when(F.col("all").isNotNull(), level))
     small = members.where("level is null").select("t", zero.alias("size"), zero.alias("i"), zero.alias("j"), "node", zero.alias("side"))
     large = members.where("level is not null").withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1))).select("t", "size", "node", "n", "component")
     if full:

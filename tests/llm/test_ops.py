@@ -192,6 +192,21 @@ def test_large_groups_are_split(spark, corpus, monkeypatch):
     assert by_row(ngram_join.jaccard_components(frame(spark, rows), few=None), "doc_id", "component_id") == want
 
 
+def test_groups_that_fit_one_tree_are_placed_without_joins(spark, monkeypatch):
+    rows = [(t, node, 40 + node % 30, node % 4) for t in (1, 2, 3) for node in range(10 * t)]
+    members = spark.createDataFrame(rows, "t long, node long, n long, component long")
+    for full in (False, True):
+        placed = ngram_join._places(members, full)
+        assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, placed.collect())) == sorted((t, 0, 0, 0, node, 0) for t, node, *_ in rows)
+    most = sum(n for t, _, n, _ in rows if t == 2)
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", most)  # the third group alone is split
+    for full in (False, True):
+        placed = [tuple(r) for r in ngram_join._places(members, full).collect()]
+        assert sorted(r for r in placed if r[0] < 3) == sorted((t, 0, 0, 0, node, 0) for t, node, *_ in rows if t < 3)
+        assert {r[4] for r in placed if r[0] == 3} == set(range(30)) and all(r[1] > 0 for r in placed if r[0] == 3)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
